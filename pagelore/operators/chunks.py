@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagelore.functions import fixed_values as fv
 from pagelore.functions import text as tx
-from pagelore.operators.running import segment_offsets
+from pagelore.operators.running import segment_offsets, wide_keys
 
 SEGMENT_PAGES = 256
 
@@ -43,7 +43,8 @@ def chunk_bounds(lengths: Column, size: int, overlap: int) -> Column:
 
 def page_chunk_arrays(pages: DataFrame, text: str, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:
     """One row per page with ``contents``, the ordered chunk texts of the page."""
-    s = pages.withColumn("sentences", tx.page_sentences(F.col(text))).filter(F.size("sentences") > 0)
+    # no filter on the sentences: it would be pushed below the projection and clean twice
+    s = pages.withColumn("sentences", tx.page_sentences(F.col(text)))
     b = s.withColumn("bounds", chunk_bounds(F.transform("sentences", F.length), size, overlap))
     texts = F.transform(
         "bounds",
@@ -70,13 +71,18 @@ def chunk_documents(merged: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int =
     long document is spread over many tasks.
     """
     source = F.coalesce(F.get("source_types", F.lit(0)), F.lit("text"))
-    pages = merged.filter(~tx.is_blank(F.col("merged_text"))).select(
+    pages = merged.select(  # a blank page yields no chunk
         "document_id", "page_number", "merged_text", source.alias("source_type"),
         F.floor(F.col("page_number") / SEGMENT_PAGES).alias("segment"),
     )
-    arrays = page_chunk_arrays(pages, "merged_text", size, overlap).drop("merged_text")
-    counted = arrays.withColumn("n", F.size("contents").cast("long"))
-    numbered = segment_offsets(counted, ["document_id"], "segment", "page_number", "n", "before")
+    def counted(p: DataFrame) -> DataFrame:
+        arrays = page_chunk_arrays(p, "merged_text", size, overlap).drop("merged_text")
+        return arrays.withColumn("n", F.size("contents").cast("long"))
+
+    long_documents = pages.join(wide_keys(pages, ["document_id"], "segment"), "document_id", "left_semi")
+    numbered = segment_offsets(
+        counted(pages), ["document_id"], "segment", "page_number", "n", "before", counted(long_documents)
+    )
     return numbered.select(
         "document_id", "page_number", "source_type", "before", F.posexplode("contents").alias("pos", "content")
     ).select(

@@ -130,20 +130,23 @@ def table_to_text(headers: Column, rows: Column, markdown: Column) -> Column:
 def tables_from_text(pages: DataFrame, text: str = "text", min_columns: int = 3, min_lines: int = 3) -> DataFrame:
     """Runs of consecutive column-like lines, found inside the page row."""
     cols = F.transform(F.split(F.col(text), "\n"), lambda x: F.split(tx.strip(x), fv.S + "{2,}|\t"))
-    at = lambda i: F.coalesce(F.size(F.get(F.col("cols"), i)) >= min_columns, F.lit(False))
-    every = F.sequence(F.lit(0), F.size("cols") - 1)
-    first = F.filter(every, lambda i: at(i) & ~at(i - 1))
-    last = F.filter(every, lambda i: at(i) & ~at(i + 1))
-    runs = F.filter(F.arrays_zip(first.alias("a"), last.alias("b")), lambda r: r["b"] - r["a"] + 1 >= min_lines)
-    found = (
-        pages.select(*PAGE, cols.alias("cols")).withColumn("runs", runs)
-        .select(*PAGE, "cols", F.posexplode("runs").alias("table_index", "run"))
-    )
-    block = F.slice("cols", F.col("run.a") + 1, F.col("run.b") - F.col("run.a") + 1)
+
+    def blocks(c: Column) -> Column:
+        return tx.let(F.transform(c, lambda x: F.size(x) >= min_columns), lambda wide: cut(c, wide))
+
+    def cut(c: Column, wide: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(wide, i), F.lit(False))
+        every = F.sequence(F.lit(0), F.size(c) - 1)
+        first = F.filter(every, lambda i: at(i) & ~at(i - 1))
+        last = F.filter(every, lambda i: at(i) & ~at(i + 1))
+        runs = F.filter(F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+                        lambda r: r["b"] - r["a"] + 1 >= min_lines)
+        return F.transform(runs, lambda r: F.slice(c, r["a"] + 1, r["b"] - r["a"] + 1))
+
+    found = pages.select(*PAGE, F.posexplode(tx.let(cols, blocks)).alias("table_index", "block"))
     return (
-        found.select(*PAGE, F.col("table_index").cast("long").alias("table_index"), block.alias("block"))
-        .select(*PAGE, "table_index", F.get("block", F.lit(0)).alias("headers"),
-                F.slice("block", F.lit(2), F.size("block")).alias("rows"))
+        found.select(*PAGE, F.col("table_index").cast("long").alias("table_index"), F.get("block", F.lit(0)).alias("headers"),
+                     F.slice("block", F.lit(2), F.size("block")).alias("rows"))
         .withColumn("markdown", table_to_markdown(F.col("headers"), F.col("rows")))
     )
 
@@ -215,9 +218,11 @@ def merge_columns(joined: DataFrame) -> DataFrame:
 
 def full_text(merged: DataFrame) -> DataFrame:
     block = F.concat(F.lit("[Page "), F.col("page_number").cast("string"), F.lit("]\n"), F.col("merged_text"))
-    pages = merged.filter(~tx.is_blank(F.col("merged_text"))).select("document_id", F.struct("page_number", block.alias("b")).alias("p"))
-    return pages.groupBy("document_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["b"]), "\n\n").alias("full_text")
+    # blank pages are skipped by the aggregate: a filter here would be pushed below the
+    # projection and evaluate the whole cleaning chain a second time
+    page = F.when(~tx.is_blank(F.col("merged_text")), F.struct("page_number", block.alias("b")))
+    return merged.groupBy("document_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(page)), lambda x: x["b"]), "\n\n").alias("full_text")
     )
 
 

@@ -11,16 +11,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def segment_offsets(df: DataFrame, keys: list[str], segment: str, order: str, value: str, out: str) -> DataFrame:
-    """Sum of ``value`` over the rows of the key that come before, as ``out``."""
+def segment_offsets(df: DataFrame, keys: list[str], segment: str, order: str, value: str, out: str,
+                    wide_rows: DataFrame | None = None) -> DataFrame:
+    """Sum of ``value`` over the rows of the key that come before, as ``out``.
+
+    ``wide_rows`` may give the rows of just the keys that reach past their first
+    segment, so that the totals need not be taken from all rows.
+    """
     inside = Window.partitionBy(*keys, segment).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-
-    # only keys that reach past their first segment need totals
-    wide = df.filter(F.col(segment) > 0).select(*keys).distinct()
-    totals = df.select(*keys, segment, value).join(wide, keys, "left_semi").groupBy(*keys, segment).agg(F.sum(value).alias("_t"))
+    if wide_rows is None:
+        wide_rows = df.join(wide_keys(df, keys, segment), keys, "left_semi")
+    totals = wide_rows.groupBy(*keys, segment).agg(F.sum(value).alias("_t"))
     earlier = Window.partitionBy(*keys).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select(*keys, segment, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_shift"))
 
     joined = local.join(shifts, [*keys, segment], "left")
     return joined.withColumn(out, F.col("_local") + F.coalesce("_shift", F.lit(0))).drop("_local", "_shift", segment)
+
+
+def wide_keys(df: DataFrame, keys: list[str], segment: str) -> DataFrame:
+    return df.filter(F.col(segment) > 0).select(*keys).distinct()

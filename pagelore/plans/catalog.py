@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("pages",)
+FAMILIES = ("pages", "retrieval", "answers")
 
 
 def queries() -> dict:
