@@ -38,6 +38,16 @@ def sentence_scores(hits: DataFrame) -> DataFrame:
     return s.select("query_id", "rank", "pos", "sentence", _shared(F.col("query"), F.col("sentence")).alias("overlap"))
 
 
+def gather(hits: DataFrame) -> DataFrame:
+    """The hits of a query (top-k at most) as one ordered array: one exchange serves every step."""
+    item = F.struct("rank", "document_id", "filename", "page_number", "source_type", "content", "final_score")
+    return hits.groupBy(*QUERY).agg(F.array_sort(F.collect_list(item)).alias("hits"))
+
+
+def _hit(i: int) -> Column:
+    return F.get("hits", F.lit(i))
+
+
 def _by_overlap(query: Column, sentences: Column, n: int) -> Column:
     """The n sentences with the largest overlap, earlier ones first among equals."""
     scored = F.transform(sentences, lambda s, i: F.struct((-_shared(query, s)).alias("o"), i.alias("i"), s.alias("s")))
@@ -48,99 +58,123 @@ def _relevant(query: Column, content: Column, n: int = 2) -> Column:
     return F.slice(F.filter(display_sentences(content), lambda s: _shared(query, s) > 0), 1, n)
 
 
-def answer_student(hits: DataFrame) -> DataFrame:
-    query, content = F.col("query"), F.col("content")
-    text = tx.let(display_sentences(content), lambda s: F.when(
+def student_text() -> Column:
+    """Three closest sentences of the best hit."""
+    query, content = F.col("query"), _hit(0)["content"]
+    return tx.let(display_sentences(content), lambda s: F.when(
         F.size(s) > 0, F.array_join(_by_overlap(query, s, 3), " ")).otherwise(tx.truncate_text(content, 300)))
-    return hits.filter(F.col("rank") == 1).select("query_id", text.alias("answer"))
+
+
+def teacher_text() -> Column:
+    """Numbered key points, each with its page, from the first three hits."""
+    def point(h: Column) -> Column:
+        return tx.let(_relevant(F.col("query"), h["content"]), lambda r: F.when(F.size(r) > 0, F.concat(
+            h["rank"].cast("string"), F.lit(". "), F.array_join(r, " "), F.lit(" (Page "),
+            h["page_number"].cast("string"), F.lit(")"))))
+
+    return tx.let(F.array_compact(F.transform(F.slice("hits", 1, 3), point)), lambda points: F.when(
+        F.size(points) > 0, F.concat(F.lit(fv.MSG_TEACHER_HEAD + "\n"), F.array_join(points, "\n"))
+    ).otherwise(tx.truncate_text(_hit(0)["content"], 500)))
+
+
+def researcher_text() -> Column:
+    """Sentences numbered through the first four hits, then the list of references by hit."""
+    used = F.slice("hits", 1, 4)
+    sentences = F.flatten(F.transform(used, lambda h: _relevant(F.col("query"), h["content"])))
+    cited = F.transform(sentences, lambda s, i: F.concat(s, F.lit(" ["), (i + 1).cast("string"), F.lit("]")))
+    body = tx.let(cited, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(tx.truncate_text(_hit(0)["content"], 600))))
+    references = F.transform(used, lambda h: F.concat(
+        F.lit("["), h["rank"].cast("string"), F.lit("] "), h["filename"], F.lit(", Page "), h["page_number"].cast("string")))
+    return F.array_join(F.concat(body, F.array(F.lit(fv.MSG_REFERENCES_HEAD)), references), "\n")
+
+
+def role_text() -> Column:
+    role = F.col("role")
+    return F.when(role == "student", student_text()).when(role == "teacher", teacher_text()).otherwise(researcher_text())
+
+
+def answer_student(hits: DataFrame) -> DataFrame:
+    return gather(hits).select("query_id", student_text().alias("answer"))
 
 
 def answer_teacher(hits: DataFrame) -> DataFrame:
-    point = F.concat(
-        F.col("rank").cast("string"), F.lit(". "), F.array_join("relevant", " "), F.lit(" (Page "),
-        F.col("page_number").cast("string"), F.lit(")"))
-    parts = hits.filter(F.col("rank") <= 3).withColumn("relevant", _relevant(F.col("query"), F.col("content")))
-    grouped = parts.groupBy("query_id").agg(
-        F.collect_list(F.when(F.size("relevant") > 0, F.struct("rank", point.alias("p")))).alias("points"),
-        F.min_by("content", "rank").alias("first"),
-    )
-    lines = F.transform(F.array_sort("points"), lambda x: x["p"])
-    text = F.when(
-        F.size("points") > 0, F.concat(F.lit(fv.MSG_TEACHER_HEAD + "\n"), F.array_join(lines, "\n"))
-    ).otherwise(tx.truncate_text(F.col("first"), 500))
-    return grouped.select("query_id", text.alias("answer"))
+    return gather(hits).select("query_id", teacher_text().alias("answer"))
 
 
 def answer_researcher(hits: DataFrame) -> DataFrame:
-    reference = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("filename"), F.lit(", Page "),
-                         F.col("page_number").cast("string"))
-    parts = hits.filter(F.col("rank") <= 4).select(
-        "query_id", "rank", "content", _relevant(F.col("query"), F.col("content")).alias("relevant"), reference.alias("ref"))
-    grouped = parts.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "relevant", "ref"))).alias("h"), F.min_by("content", "rank").alias("first"))
-    sentences = F.flatten(F.transform("h", lambda x: x["relevant"]))
-    cited = F.transform(sentences, lambda s, i: F.concat(s, F.lit(" ["), (i + 1).cast("string"), F.lit("]")))
-    body = tx.let(cited, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(tx.truncate_text(F.col("first"), 600))))
-    lines = F.concat(body, F.array(F.lit(fv.MSG_REFERENCES_HEAD)), F.transform("h", lambda x: x["ref"]))
-    return grouped.select("query_id", F.array_join(lines, "\n").alias("answer"))
+    return gather(hits).select("query_id", researcher_text().alias("answer"))
 
 
 def answer_by_role(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """One answer per query: student and teacher styles, every other role as researcher."""
-    student = answer_student(hits.filter(F.col("role") == "student"))
-    teacher = answer_teacher(hits.filter(F.col("role") == "teacher"))
-    researcher = answer_researcher(hits.filter(~F.col("role").isin("student", "teacher")))
-    given = student.unionByName(teacher).unionByName(researcher)
+    given = gather(hits).select("query_id", role_text().alias("answer"))
     return queries.select(*QUERY).join(given, "query_id", "left").withColumn(
         "answer", F.coalesce("answer", F.lit(fv.MSG_NO_EXTRACT)))
 
 
-def _confidence(score: Column, rank: Column) -> Column:
-    top = F.when(F.max(score) > 0, F.max(score)).otherwise(F.lit(1.0))
-    weighted = F.sum(score / rank) / top / F.sum(F.lit(1.0) / rank)
-    return F.round(F.least(weighted, F.lit(1.0)), 4)
+# --- scores of a gathered query --------------------------------------------------
+def _scores() -> Column:
+    return F.transform("hits", lambda h: h["final_score"])
 
 
-def confidence(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("query_id").agg(_confidence(F.col("final_score"), F.col("rank")).alias("confidence"))
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def max_score() -> Column:
+    return F.array_max(_scores())
+
+
+def mean_score() -> Column:
+    return F.try_divide(_total(_scores()), F.size("hits"))
+
+
+def confidence_score() -> Column:
+    """Mean of the scores over the best one, weighted by one over the rank."""
+    shares = _total(F.transform("hits", lambda h: h["final_score"] / h["rank"]))
+    weights = _total(F.transform("hits", lambda h: F.lit(1.0) / h["rank"]))
+    top = F.when(max_score() > 0, max_score()).otherwise(F.lit(1.0))
+    return F.round(F.least(F.try_divide(shares / top, weights), F.lit(1.0)), 4)
+
+
+def _distinct(field: str) -> Column:
+    return F.size(F.array_distinct(F.transform("hits", lambda h: h[field])))
 
 
 def _four(c: Column) -> Column:
     return F.format_string("%.4f", F.round(c, 4))
 
 
-def score_summary(hits: DataFrame) -> DataFrame:
-    score = F.col("final_score")
-    return hits.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("n_hits"), F.count_distinct("document_id").alias("n_documents"),
-        F.max(score).alias("max_score"), F.avg(score).alias("avg_score"),
-        _confidence(score, F.col("rank")).alias("confidence"),
-    )
+def weak_reason_text() -> Column:
+    return F.concat(
+        F.lit("All "), F.size("hits").cast("string"), F.lit(" retrieved segments had very low relevance (max score: "),
+        _four(max_score()), F.lit(", avg: "), _four(mean_score()),
+        F.lit("). The question likely falls outside the scope of uploaded documents."))
 
 
-def out_of_scope(hits: DataFrame, threshold: float = fv.LOW_RELEVANCE) -> DataFrame:
-    weak = score_summary(hits).withColumn("out_of_scope", F.col("max_score") < threshold)
-    reason = F.concat(
-        F.lit("All "), F.col("n_hits").cast("string"), F.lit(" retrieved segments had very low relevance (max score: "),
-        _four(F.col("max_score")), F.lit(", avg: "), _four(F.col("avg_score")),
-        F.lit("). The question likely falls outside the scope of uploaded documents."))
-    return weak.select(
-        "query_id", "out_of_scope", F.col("max_score").alias("confidence"),
-        F.when(F.col("out_of_scope"), F.lit(fv.MSG_LOW_RELEVANCE)).alias("answer"),
-        F.when(F.col("out_of_scope"), reason).alias("reasoning"))
+def reason_text() -> Column:
+    return F.concat(
+        F.lit("Answer derived from "), F.size("hits").cast("string"), F.lit(" document segments across "),
+        _distinct("document_id").cast("string"), F.lit(" document(s). Top score: "), _four(max_score()),
+        F.lit(", Average score: "), _four(mean_score()), F.lit("."))
 
 
-def reasoning(hits: DataFrame) -> DataFrame:
-    return score_summary(hits).select("query_id", _reasoning().alias("reasoning"))
+def confidence(hits: DataFrame) -> DataFrame:
+    return gather(hits).select("query_id", confidence_score().alias("confidence"))
 
 
-def _reasoning() -> Column:
-    return F.concat(
-        F.lit("Answer derived from "), F.col("n_hits").cast("string"), F.lit(" document segments across "),
-        F.col("n_documents").cast("string"), F.lit(" document(s). Top score: "), _four(F.col("max_score")),
-        F.lit(", Average score: "), _four(F.col("avg_score")), F.lit("."))
+def out_of_scope(hits: DataFrame, threshold: float = fv.LOW_RELEVANCE) -> DataFrame:
+    weak = max_score() < threshold
+    return gather(hits).select(
+        "query_id", weak.alias("out_of_scope"), max_score().alias("confidence"),
+        F.when(weak, F.lit(fv.MSG_LOW_RELEVANCE)).alias("answer"), F.when(weak, weak_reason_text()).alias("reasoning"))
+
+
+def reasoning(hits: DataFrame) -> DataFrame:
+    return gather(hits).select("query_id", reason_text().alias("reasoning"))
 
 
+# --- sources and follow-up questions ---------------------------------------------
 def source_rows(hits: DataFrame) -> DataFrame:
     return hits.select(
         "query_id", F.col("rank").cast("long").alias("rank"), F.col("filename").alias("file"),
@@ -148,13 +182,15 @@ def source_rows(hits: DataFrame) -> DataFrame:
         tx.truncate_text(F.col("content"), 150).alias("content_preview"))
 
 
+def source_array() -> Column:
+    return F.transform("hits", lambda h: F.struct(
+        h["filename"].alias("file"), h["page_number"].alias("page"), h["final_score"].alias("score"),
+        h["source_type"].alias("source_type"), tx.truncate_text(h["content"], 150).alias("content_preview")))
+
+
 def sources(hits: DataFrame) -> DataFrame:
     """Ordered array of source structs per query (at most top-k items)."""
-    item = F.struct("rank", "file", "page", "score", "source_type", "content_preview")
-    ordered = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(
-        x["file"].alias("file"), x["page"].alias("page"), x["score"].alias("score"),
-        x["source_type"].alias("source_type"), x["content_preview"].alias("content_preview")))
-    return source_rows(hits).groupBy("query_id").agg(ordered.alias("sources"))
+    return gather(hits).select("query_id", source_array().alias("sources"))
 
 
 def _question(s: Column) -> Column:
@@ -166,32 +202,30 @@ def _question(s: Column) -> Column:
         F.concat(F.lit("Can you explain: "), tx.truncate_text(s, 80), F.lit("?")))
 
 
-def suggest_questions(hits: DataFrame, limit: int = 5) -> DataFrame:
+def question_array(limit: int = 5) -> Column:
     """Questions made from marked sentences among the first ten of the three best hits."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]), " ")
-    grouped = hits.filter(F.col("rank") <= 3).groupBy("query_id").agg(text.alias("t"))
+    text = F.array_join(F.transform(F.slice("hits", 1, 3), lambda h: h["content"]), " ")
     marked = F.filter(
-        F.slice(tx.split_sentences(F.col("t")), 1, 10),
+        F.slice(tx.split_sentences(text), 1, 10),
         lambda s: F.lower(s).rlike("|".join(fv.QUESTION_MARKERS)) & (F.length(s) > 20) & (F.length(s) < 200))
-    return grouped.select("query_id", F.slice(F.transform(marked, _question), 1, limit).alias("suggested_questions"))
+    return F.slice(F.transform(marked, _question), 1, limit)
+
+
+def suggest_questions(hits: DataFrame, limit: int = 5) -> DataFrame:
+    return gather(hits).select("query_id", question_array(limit).alias("suggested_questions"))
 
 
 def compose_answers(queries: DataFrame, hits: DataFrame) -> DataFrame:
-    """Everything a question gets back, one row per query."""
-    weak = F.col("max_score") < fv.LOW_RELEVANCE
-    low = out_of_scope(hits).select("query_id", F.col("reasoning").alias("weak_reason"))
-    joined = (
-        answer_by_role(queries, hits).join(score_summary(hits), "query_id", "left").join(low, "query_id", "left")
-        .join(sources(hits), "query_id", "left").join(suggest_questions(hits), "query_id", "left")
-    )
-    none = F.col("n_hits").isNull()
+    """Everything a question gets back, one row per query, from one pass over its hits."""
+    joined = queries.select(*QUERY).join(gather(hits).drop("query", "role"), "query_id", "left")
+    none, weak = F.col("hits").isNull(), max_score() < fv.LOW_RELEVANCE
     return joined.select(
         "query_id", "query", "role",
-        F.when(none, F.lit(fv.MSG_NO_HITS)).when(weak, F.lit(fv.MSG_LOW_RELEVANCE)).otherwise(F.col("answer")).alias("answer"),
-        F.when(none, F.lit(0.0)).when(weak, F.col("max_score")).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(none, F.lit(fv.MSG_NO_HITS_REASON)).when(weak, F.col("weak_reason")).otherwise(_reasoning()).alias("reasoning"),
-        F.when(none | weak, F.slice("sources", 1, 0)).otherwise(F.col("sources")).alias("sources"),
-        F.col("suggested_questions"),
+        F.when(none, F.lit(fv.MSG_NO_HITS)).when(weak, F.lit(fv.MSG_LOW_RELEVANCE)).otherwise(role_text()).alias("answer"),
+        F.when(none, F.lit(0.0)).when(weak, max_score()).otherwise(confidence_score()).alias("confidence"),
+        F.when(none, F.lit(fv.MSG_NO_HITS_REASON)).when(weak, weak_reason_text()).otherwise(reason_text()).alias("reasoning"),
+        F.when(none | weak, F.slice(source_array(), 1, 0)).otherwise(source_array()).alias("sources"),
+        question_array().alias("suggested_questions"),
     )
 
 
@@ -270,9 +304,9 @@ def confidence_level(c: Column) -> Column:
 
 def explain_confidence(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """Why an answer got its score: source count, best score, distinct files, level and advice."""
-    found = hits.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("n"), F.max("final_score").alias("top"), F.count_distinct("filename").alias("files"),
-        _confidence(F.col("final_score"), F.col("rank")).alias("score"))
+    found = gather(hits).select(
+        "query_id", F.size("hits").alias("n"), max_score().alias("top"), _distinct("filename").alias("files"),
+        confidence_score().alias("score"))
     j = queries.select("query_id").join(found, "query_id", "left")
     n, top = F.coalesce("n", F.lit(0)), F.col("top")
 

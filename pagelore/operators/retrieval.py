@@ -259,14 +259,37 @@ def hybrid_search(queries: DataFrame, vectors: DataFrame, top_k: int = fv.TOP_K,
     """Vector candidates re-scored by BM25 among themselves; both min-max scaled, weighted, cut to k.
 
     queries: query_id, query, embedding, document_ids; vectors: chunk_id, document_id,
-    content, embedding and any page columns.
+    content, embedding and any page columns.  Once the few candidates of a query are
+    together (one exchange on query_id) every later step works on that partitioning.
     """
     found = candidates(queries, vectors, top_k * over_fetch)
-    corpora = found.select(F.col("query_id").alias(CORPUS), "chunk_id", "content")
-    asked = queries.select("query_id", F.col("query_id").alias(CORPUS), "query")
-    scores = bm25_scores(asked, corpora)
-    scored = found.join(scores, ["query_id", "chunk_id"], "left").withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
-    return fuse(scored, top_k, bm25_weight, vector_weight)
+    asked = queries.select("query_id", term_counts(tx.lower_words(F.col("query"))).alias("asked"))
+    return fuse(candidate_bm25(found.join(asked, "query_id")), top_k, bm25_weight, vector_weight)
+
+
+def candidate_bm25(found: DataFrame, k1: float = fv.BM25_K1, b: float = fv.BM25_B, epsilon: float = fv.BM25_EPSILON) -> DataFrame:
+    """BM25 of each candidate with the candidates of its query as the corpus.
+
+    Same formula as ``bm25_scores``; the corpora hold k candidates at most, so the
+    statistics are windows over query_id.  A term with n postings adds 1/n per posting
+    to the sums behind the mean inverse frequency.
+    """
+    by_query, by_term = Window.partitionBy("query_id"), Window.partitionBy("query_id", "term")
+    sized = found.withColumn("_tokens", tx.lower_words(F.col("content"))).withColumn("dl", F.size("_tokens")).select(
+        "*", F.count(F.lit(1)).over(by_query).alias("n_docs"), F.avg("dl").over(by_query).alias("avgdl"),
+        term_counts(F.col("_tokens")).alias("_terms"))
+    kept = [c for c in found.columns if c != "asked"]
+    posts = sized.drop("_tokens").select("*", F.inline_outer("_terms")).drop("_terms").withColumn("df", F.count("term").over(by_term))
+    idf = F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    posts = posts.withColumn("idf", F.when(F.col("term").isNotNull(), idf))
+    average = F.sum(F.col("idf") / F.col("df")).over(by_query) / F.sum(F.when(F.col("term").isNotNull(), 1.0 / F.col("df"))).over(by_query)
+    qtf = F.get(F.filter("asked", lambda t: t["term"] == F.col("term")), F.lit(0))["tf"]
+    weighed = posts.withColumn("weight", qtf * F.when(F.col("idf") < 0, average * epsilon).otherwise(F.col("idf")))
+    tf, dl = F.col("tf"), F.col("dl")
+    part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
+    keep = [F.first(c).alias(c) for c in kept if c not in ("query_id", "chunk_id")]
+    return weighed.groupBy("query_id", "chunk_id").agg(
+        *keep, F.round(F.coalesce(F.sum(part), F.lit(0.0)), 6).alias("bm25_score"))
 
 
 def fuse(scored: DataFrame, top_k: int, bm25_weight: float = fv.BM25_WEIGHT, vector_weight: float = fv.VECTOR_WEIGHT) -> DataFrame:
