@@ -207,3 +207,75 @@ ROLES = ("student", "teacher", "researcher", "admin")
 STATUSES = ("uploaded", "processing", "processed", "failed")
 PRIORITIES = ("low", "medium", "high")
 TASK_STATUSES = ("todo", "in_progress", "done")
+
+# --- study questions -----------------------------------------------------------
+# A rule reads: pass number, pattern the sentence has to show (None: any), patterns whose
+# first group is the subject, number of key terms used when no subject is found (None:
+# no question then), question text, sentences of context after the first.
+_ANY = r"[^\n]"
+_LEAD = rf"(?i)^(?:The{S}+)?({_ANY}{{3,40}}?)"
+
+
+def _verbs(*verbs: str) -> str:
+    return rf"{_LEAD}{S}+(?:{'|'.join(verbs)}){B1}"
+
+
+def _whole(*alternatives: str) -> str:
+    return rf"(?i){B0}(?:{'|'.join(alternatives)}){B1}"
+
+
+_DEFINED = (
+    rf"(?i)^({_ANY}{{3,60}}?){S}+(?:is|are){S}+(?:a|an|the|one of){S}+({_ANY}{{15,}})",
+    rf"(?i)^({_ANY}{{3,60}}?){S}+(?:refers? to|is defined as|means|is known as|is called){S}+({_ANY}{{15,}})",
+)
+_FEATURES = (
+    rf"(?i)^({_ANY}{{3,50}}?){S}+(?:has|have|contains?|consists? of|includes?){S}+({_ANY}{{15,}})",
+    rf"(?i)^({_ANY}{{3,50}}?){S}+(?:supports?|provides?|allows?|enables?){S}+({_ANY}{{15,}})",
+)
+_CARD_FEATURES = (
+    _FEATURES[0],
+    rf"(?i)^({_ANY}{{3,50}}?){S}+(?:supports?|provides?|allows?|enables?|requires?){S}+({_ANY}{{15,}})",
+)
+_COST = rf"O\([^)]+\)|(?i:{B0}(?:worst|average|best){S}+case{B1})"
+_TYPES_OF = rf"(?i)types?{S}+of{S}+({_ANY}{{3,40}}?)(?:{S}*[:.,]|\z)"
+_AGAINST = rf"(?i)(?:compared to|unlike|versus|difference between|similar to){S}+({_ANY}{{3,40}}?)(?:\.|,|\z)"
+_EXAMPLE = rf"(?i){B0}(?:for example|for instance|such as|like){B1}|(?i:{B0}e\.g\.{W})"
+
+FAQ_RULES = (
+    (1, None, _DEFINED, None, "What is {}?", 2),
+    (2, None, _FEATURES, None, "What are the key features of {}?", 2),
+    (3, _COST, (_verbs("is", "has", "takes?"),), 3, "What is the time/space complexity of {}?", 2),
+    (4, "(?i) compared to | unlike | versus | difference between | similar to ", (), 3, "How does {} compare?", 2),
+    (5, _whole("advantage", "benefit", "strength", "efficient", "faster"),
+     (_verbs("is", "are", "has", "have", "offers?"),), 3, "What are the advantages of {}?", 2),
+    (5, _whole("disadvantage", "drawback", "limitation", "slow", "overhead"),
+     (_verbs("is", "are", "has", "have", "offers?"),), 3, "What are the limitations of {}?", 2),
+    (6, _whole("used (?:for|in|to)", "application", "commonly", "typically"),
+     (_verbs("is", "are", "can"),), 3, "What are the applications of {}?", 2),
+    (7, _whole("step", "first", "then", "procedure", "algorithm", "process"),
+     (_verbs("is", "works", "involves", "begins"),), 4, "How does {} work?", 3),
+    (8, _whole(f"types?{S}+of", f"kinds?{S}+of", "categor", "classified", "classification"), (_TYPES_OF,), 3,
+     "What are the types of {}?", 2),
+    (9, _EXAMPLE, (_verbs("is", "are", "has", "include", "can"),), 3, "What are examples of {}?", 2),
+    (10, "(?i)because |in order to |so that |important |essential |crucial |necessary ",
+     (_verbs("is", "are", "was", "exists?", "works?"),), 4, "Why is {} important?", 2),
+    (11, None, (_verbs("is", "are", "was", "were", "has", "have", "can", "provides?"),), None, "Explain {} in detail.", 3),
+)
+CARD_RULES = (
+    (1, None, _DEFINED, None, "What is {}?", 2),
+    (2, None, _CARD_FEATURES, None, "What are the key features of {}?", 2),
+    (3, _COST, (_verbs("is", "has", "have", "takes?", "requires?"),), 3, "What is the time/space complexity of {}?", 2),
+    (4, "(?i) compared to | unlike | versus | difference between | similar to | in contrast ", (_AGAINST,), 4,
+     "How do these compare: {} vs {}?", 2),
+    (5, _whole("advantage", "benefit", "strength", "efficient"),
+     (_verbs("has", "have", "is", "are", "offers?"),), 3, "What are the advantages of {}?", 2),
+    (5, _whole("disadvantage", "drawback", "limitation", "slow", "overhead", "expensive"),
+     (_verbs("has", "have", "is", "are", "offers?"),), 3, "What are the limitations of {}?", 2),
+    (6, _whole("used (?:for|in|to|when)", "application", "commonly", "typically"),
+     (rf"{_LEAD}{S}+(?:is|are|can be){S}+used{B1}", _verbs("is", "are")), 3, "What are the applications of {}?", 2),
+    (7, _whole("step", "first", "then", "next", "finally", "process", "procedure", "algorithm"),
+     (_verbs("is", "works", "involves", "begins", "starts", "requires"),), 4, "Describe the process of {}", 3),
+    (8, "(?i)because |in order to |so that |reason |important because",
+     (_verbs("is", "are", "was", "exists?", "works?"),), 4, "Why is {} important?", 2),
+    (9, None, (_verbs("is", "are", "was", "were", "has", "have", "can", "will", "provides?"),), None, "Explain: {}", 2),
+)

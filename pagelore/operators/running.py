@@ -32,3 +32,17 @@ def segment_offsets(df: DataFrame, keys: list[str], segment: str, order: str, va
 
 def wide_keys(df: DataFrame, keys: list[str], segment: str) -> DataFrame:
     return df.filter(F.col(segment) > 0).select(*keys).distinct()
+
+
+def number_rows(df: DataFrame, order: str, out: str, segment_rows: int = 1_000_000) -> DataFrame:
+    """1.. over the whole frame by an integer key, without one task seeing all rows.
+
+    Key ranges are the segments; only one row per range passes through the global sum.
+    """
+    ranged = df.withColumn("_segment", F.floor(F.col(order) / segment_rows))
+    inside = Window.partitionBy("_segment").orderBy(order)
+    counts = ranged.groupBy("_segment").agg(F.count(F.lit(1)).alias("_n"))
+    shifts = counts.select("_segment", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
+    local = ranged.withColumn("_local", F.row_number().over(inside))
+    return local.join(shifts, "_segment").withColumn(out, F.col("_local") + F.col("_shift")).drop("_segment", "_local", "_shift")

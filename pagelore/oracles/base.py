@@ -11,7 +11,8 @@ C.add("users_v", """
 SELECT c_custkey AS id, c_name AS username, lower(c_name) || '@example.com' AS email,
        CASE c_mktsegment WHEN 'MACHINERY' THEN 'teacher' WHEN 'HOUSEHOLD' THEN 'researcher'
             WHEN 'FURNITURE' THEN 'admin' ELSE 'student' END AS role,
-       c_acctbal >= 0 AS is_active
+       c_acctbal >= 0 AS is_active,
+       TIMESTAMP '2024-01-01 00:00:00' + c_custkey * INTERVAL '1' HOUR AS created_at
 FROM customer""")
 
 C.add("docs_v", """
@@ -87,6 +88,20 @@ C.add("evals_v", """
 SELECT b.id AS answer_id, b.query, b.answer, coalesce(d.text, '') AS sources, b.query AS reference
 FROM bookmarks_v b LEFT JOIN documents d ON d.doc_id = b.session_id""", "bookmarks_v")
 
+C.add("faqs_v", """
+SELECT id, session_id AS document_id, query AS question, answer, 0.7::DOUBLE AS confidence, created_at FROM bookmarks_v""", "bookmarks_v")
+C.add("prefs_v", """
+SELECT c_custkey AS user_id, CASE WHEN c_custkey % 2 = 0 THEN 'dark' END AS theme,
+       CASE c_nationkey % 3 WHEN 0 THEN 'fr' WHEN 1 THEN 'de' END AS language,
+       CASE WHEN c_custkey % 4 = 0 THEN '{"segment": "' || c_mktsegment || '"}' END AS preferences_json
+FROM customer WHERE c_custkey % 3 = 0""")
+C.add("cards_v", """
+SELECT l_suppkey AS deck_id, l_orderkey * 10 + l_linenumber AS card_id,
+       CASE max(l_returnflag) WHEN 'R' THEN 'known' WHEN 'A' THEN 'unknown' END AS mark FROM lineitem GROUP BY 1, 2""")
+C.add("answered_v", """
+SELECT id AS query_id, user_id, CASE WHEN (id // 2) % 2 = 0 THEN session_id END AS session_id, query, answer, confidence
+FROM bookmarks_v""", "bookmarks_v")
+
 _line = "CASE WHEN o_orderkey % 5 = 0 THEN chr(9) ELSE '   ' END"
 C.add("sheets_v", f"""
 SELECT o_orderkey AS document_id, 1::BIGINT AS page_number, array_to_string(list_filter([

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("pages", "retrieval", "answers")
+FAMILIES = ("pages", "retrieval", "answers", "analytics", "tables", "text")
 
 
 def queries() -> dict:

@@ -32,6 +32,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
             "WHEN 'FURNITURE' THEN 'admin' ELSE 'student' END"
         ).alias("role"),
         (F.col("c_acctbal") >= 0).alias("is_active"),
+        F.expr(f"{EPOCH} + c_custkey * INTERVAL '1' HOUR").alias("created_at"),
     )
 
 
@@ -240,3 +241,38 @@ def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("document_id"), F.lit(1).cast("long").alias("page_number"), "url", "html"
     )
+
+
+def faqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored questions and answers: each bookmark counts as one of the document of its session."""
+    return bookmarks(spark, sf_dir).select(
+        "id", F.col("session_id").alias("document_id"), F.col("query").alias("question"), "answer",
+        F.lit(0.7).alias("confidence"), "created_at")
+
+
+def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third user has stored preferences, some without a theme."""
+    return table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(
+        F.col("c_custkey").alias("user_id"),
+        F.expr("CASE WHEN c_custkey % 2 = 0 THEN 'dark' END").alias("theme"),
+        F.expr("CASE c_nationkey % 3 WHEN 0 THEN 'fr' WHEN 1 THEN 'de' END").alias("language"),
+        F.expr("CASE WHEN c_custkey % 4 = 0 THEN concat('{\"segment\": \"', c_mktsegment, '\"}') END").alias("preferences_json"))
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as cards of the deck of their order."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("deck_id"), F.expr("l_orderkey * 10 + l_linenumber").alias("card_id")).distinct()
+
+
+def card_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(
+        F.col("l_suppkey").alias("deck_id"), F.expr("l_orderkey * 10 + l_linenumber").alias("card_id")).agg(
+        F.expr("CASE max(l_returnflag) WHEN 'R' THEN 'known' WHEN 'A' THEN 'unknown' END").alias("mark"))
+
+
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answered questions to store: every other one has no session yet."""
+    return bookmarks(spark, sf_dir).select(
+        F.col("id").alias("query_id"), "user_id",
+        F.expr("CASE WHEN (id div 2) % 2 = 0 THEN session_id END").alias("session_id"), "query", "answer", "confidence")
