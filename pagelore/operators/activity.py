@@ -132,7 +132,7 @@ def percentage(last: Column, total: Column) -> Column:
 def latest_progress(updates: DataFrame) -> DataFrame:
     """One row per user and document: the fields of the newest version (no window, one aggregate)."""
     fields = [c for c in updates.columns if c not in ("user_id", "document_id", "version_key")]
-    newest = F.max_by(F.struct(*fields), "version_key").alias("r")
+    newest = F.max_by(F.struct(*fields), F.struct("version_key", *fields)).alias("r")  # equal versions: larger values win
     return updates.groupBy("user_id", "document_id").agg(newest).select("user_id", "document_id", "r.*")
 
 

@@ -64,10 +64,10 @@ def merge_progress(stored: DataFrame, updates: DataFrame, documents: DataFrame,
     keys = ["user_id", "document_id"]
 
     def newest(c: str) -> Column:
-        return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("version_key"))).alias(f"new_{c}")
+        return F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("version_key", c))).alias(f"new_{c}")
 
     folded = updates.groupBy(*keys).agg(
-        F.max_by("last_page", "version_key").alias("new_last_page"), newest("total_pages"), newest("notes"), newest("completed"))
+        newest("last_page"), newest("total_pages"), newest("notes"), newest("completed"))
     owned = documents.select(F.col("id").alias("document_id"), F.col("owner_id").alias("user_id"), F.lit(True).alias("owned"))
     old = stored.select(*keys, *[F.col(c).alias(f"old_{c}") for c in ("last_page", "total_pages", "notes", "completed")], F.lit(True).alias("known"))
     j = old.join(folded, keys, "full_outer").join(owned, keys, "left").join(page_counts, "document_id", "left")

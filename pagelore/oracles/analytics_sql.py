@@ -188,7 +188,7 @@ SELECT r.user_id, r.document_id, coalesce(d.original_name, 'Unknown') AS filenam
        coalesce(completed, false) AS completed,
        CASE WHEN coalesce(total_pages, 0) = 0 THEN 0 ELSE round_even(last_page / total_pages * 100, 0) END::BIGINT AS percentage
 FROM (SELECT DISTINCT s_suppkey AS user_id, unnest([s_suppkey % 200, s_suppkey * 7 % 200, 1000000000]) AS document_id FROM supplier) r
-LEFT JOIN (SELECT * FROM progress_v QUALIFY row_number() OVER (PARTITION BY user_id, document_id ORDER BY version_key DESC) = 1) p USING (user_id, document_id)
+LEFT JOIN (SELECT * FROM progress_v QUALIFY row_number() OVER (PARTITION BY user_id, document_id ORDER BY version_key DESC, last_page DESC, total_pages DESC, completed DESC, updated_at DESC) = 1) p USING (user_id, document_id)
 LEFT JOIN docs_v d ON d.id = r.document_id""", "progress_v", "docs_v"),
     "preferences_with_defaults": C.sql("SELECT u.id AS user_id, coalesce(theme, 'light') AS theme, coalesce(language, 'en') AS language, "
                                        "coalesce(preferences_json, '{}') AS preferences_json FROM users_v u LEFT JOIN prefs_v p ON p.user_id = u.id", "users_v", "prefs_v"),

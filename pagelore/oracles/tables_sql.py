@@ -29,7 +29,7 @@ def safe(c: str) -> str:
 
 _name = "CASE WHEN original_name = '' THEN 'document.pdf' ELSE original_name END"
 
-C.add("progress_latest", "SELECT * FROM progress_v QUALIFY row_number() OVER (PARTITION BY user_id, document_id ORDER BY version_key DESC) = 1", "progress_v")
+C.add("progress_latest", "SELECT * FROM progress_v QUALIFY row_number() OVER (PARTITION BY user_id, document_id ORDER BY version_key DESC, last_page DESC, total_pages DESC, completed DESC, updated_at DESC) = 1", "progress_v")
 _TABLES = {
     "document_chunks": "chunks_v", "document_tags": "tags_v", "faqs": "faqs_v", "reading_progress": "progress_latest", "annotations": "annotations_v",
 }
@@ -72,10 +72,10 @@ SELECT o_orderkey AS id, o_custkey % 20 AS user_id, CASE WHEN o_orderkey % 4 <>
 C.add("upd_v", "SELECT *, CASE WHEN version_key % 3 = 0 THEN 'note ' || version_key END AS notes FROM progress_v", "progress_v")
 C.add("upd_stored", """
 SELECT user_id, document_id, last_page, total_pages, coalesce(notes, '') AS notes, completed FROM upd_v WHERE version_key % 2 = 0
-QUALIFY row_number() OVER (PARTITION BY user_id, document_id ORDER BY version_key DESC) = 1""", "upd_v")
+QUALIFY row_number() OVER (PARTITION BY user_id, document_id ORDER BY version_key DESC, last_page DESC, total_pages DESC, completed DESC, updated_at DESC) = 1""", "upd_v")
 C.add("upd_batch", """
-SELECT user_id, document_id, arg_max(last_page, version_key) AS last_page, arg_max(total_pages, version_key) FILTER (total_pages IS NOT NULL) AS total_pages,
-       arg_max(notes, version_key) FILTER (notes IS NOT NULL) AS notes, arg_max(completed, version_key) FILTER (completed IS NOT NULL) AS completed FROM (
+SELECT user_id, document_id, arg_max(last_page, [version_key, last_page]) AS last_page, arg_max(total_pages, [version_key, total_pages]) FILTER (total_pages IS NOT NULL) AS total_pages,
+       arg_max(notes, version_key) FILTER (notes IS NOT NULL) AS notes, arg_max(completed, [version_key, completed::BIGINT]) FILTER (completed IS NOT NULL) AS completed FROM (
   SELECT CASE WHEN version_key % 5 = 0 THEN document_id % 20 ELSE user_id END AS user_id, document_id, last_page, notes, version_key,
          CASE WHEN version_key % 4 = 1 THEN total_pages END AS total_pages, CASE WHEN version_key % 7 = 0 THEN completed END AS completed
   FROM upd_v WHERE version_key % 2 = 1) GROUP BY 1, 2""", "upd_v")

@@ -164,12 +164,16 @@ C.add("faq_topics_v", """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY pass, i) - 1 AS topic FROM (
   SELECT * FROM faq_cands WHERE length(question) >= 12 AND length(question) - length(replace(question, ' is ', '')) <= 4
   QUALIFY row_number() OVER (PARTITION BY document_id, substring(lower(question), 1, 60) ORDER BY pass, i) = 1)) WHERE topic < 10""", "faq_cands")
-_runs = "list_distinct(regexp_extract_all(lower({}), " + dk.q(fv.W + "+") + "))"
-_keys = dk.tfilter(_runs.format("question"), lambda w: f"NOT list_contains({dk.strlist(fv.CONTEXT_STOP)}, {w}) AND length({w}) > 2")
+def runs(c: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({c}), {dk.q(fv.W + '+')}))"
+
+
+
+_keys = dk.tfilter(runs("question"), lambda w: f"NOT list_contains({dk.strlist(fv.CONTEXT_STOP)}, {w}) AND length({w}) > 2")
 _ctx = dk.tfilter(dk.loose_sentences("cleaned"), lambda s: f"length({s}) > 20")
 C.add("faq_focus", f"""
 SELECT document_id, topic, string_agg(s, ' ' ORDER BY i) AS focus FROM (
-  SELECT document_id, topic, s, i, row_number() OVER (PARTITION BY document_id, topic ORDER BY {dk.overlap_size('keys', _runs.format('s'))}
+  SELECT document_id, topic, s, i, row_number() OVER (PARTITION BY document_id, topic ORDER BY {dk.overlap_size('keys', runs('s'))}
          + CASE WHEN len(list_filter(keys, lambda w: contains(lower(s), w))) > 0 THEN 0.5 ELSE 0 END DESC, i) AS n FROM (
     SELECT t.document_id, t.topic, {_keys} AS keys, m.s, m.i FROM faq_topics_v t JOIN (
       SELECT document_id, unnest(c) AS s, generate_subscripts(c, 1) AS i FROM (SELECT document_id, {_ctx} AS c FROM material_v)) m USING (document_id)))
@@ -217,7 +221,7 @@ JOIN card_rows r ON r.document_id = t.document_id AND r.i BETWEEN t.i - 1 AND t.
 WHERE t.pass < 9 OR t.rn < 25 GROUP BY ALL HAVING length(context) > 30""", "card_cands", "card_rows")
 _c = dk.tfilter(dk.loose_sentences("context"), lambda s: f"length({s}) > 20")
 
-_third = f"coalesce(upper({dk.words('text')}[3]), 'x')"
+_third = f"coalesce(lower({dk.words('text')}[3]), 'x')"
 SQL = {
     "clean_text": over_text(dk.clean_text("text"), "cleaned"),
     "remove_header_footer": over_text(dk.remove_header_footer("text"), "body"),

@@ -32,8 +32,8 @@ def q_cache_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_snippet(spark: SparkSession, d: str) -> DataFrame:
-    """Each document searched for its own third word, written in capitals."""
-    needle = F.upper(F.get(tx.words(F.col("text")), F.lit(2)))
+    """Each document searched for its own third word, in small letters."""
+    needle = F.lower(F.get(tx.words(F.col("text")), F.lit(2)))
     return fx.texts(spark, d).select("doc_id", tx.snippet(F.col("text"), F.coalesce(needle, F.lit("x"))).alias("snippet"))
 
 
