@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from importlib import import_module
 
-FAMILIES = ("pages", "retrieval", "answers", "analytics", "tables", "text")
+from pyspark.sql import DataFrame, SparkSession
 
+FAMILIES = ("pages", "text", "retrieval", "answers", "analytics", "tables", "streams")
 
-def queries() -> dict:
+
+def _pinned(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Timestamps are naive UTC in the data model: pin the session zone before the plan is made."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return run(spark, sf_dir)
+
+    return query
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict = {}
     for family in FAMILIES:
         found.update(import_module(f"pagelore.plans.{family}_plan").QUERIES)
-    return found
+    return {key: _pinned(run) for key, run in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

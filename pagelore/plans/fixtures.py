@@ -56,9 +56,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cut_pages(texts_df: DataFrame) -> DataFrame:
     """Twenty lines make a page; cut inside the row, so no shuffle is needed."""
-    lines = F.split("text", "\n")
     numbered = F.transform(
         F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / LINES_PER_PAGE).cast("int")),
         lambda i: F.struct(
@@ -67,12 +66,16 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     return (
-        texts(spark, sf_dir).select(F.col("doc_id").alias("document_id"), lines.alias("lines"))
+        texts_df.select("document_id", F.split("text", "\n").alias("lines"))
         .select("document_id", F.explode(numbered).alias("p"))
         .select("document_id", F.col("p.page_number").cast("long").alias("page_number"), "p.raw_text")
     )
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_pages(texts(spark, sf_dir).withColumnRenamed("doc_id", "document_id"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").cast("long").alias("document_id")
@@ -105,7 +108,11 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return feedback_of(table(spark, sf_dir, "events"))
+
+
+def feedback_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("id"), "user_id",
         F.expr("CASE WHEN event_type <> 'signup' THEN CAST(1 + event_id % 5 AS INT) END").alias("rating"),
         F.col("event_type").isin("view", "purchase").alias("helpful"),
