@@ -106,7 +106,7 @@ def keep_display_line(line: Column) -> Column:
 
 
 def clean_chunk_for_display(c: Column) -> Column:
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), f"({fv.W}+)-\n({fv.W}+)", "$1$2")
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), f"({fv.W})-\n({fv.W}+)", "$1$2")
     lines = F.filter(F.transform(F.split(c, "\n"), strip), keep_display_line)
     return strip(F.regexp_replace(F.array_join(lines, " "), "  +", " "))
 

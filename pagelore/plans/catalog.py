@@ -7,13 +7,19 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagelore.session import ship_package, tune
+
 FAMILIES = ("pages", "text", "retrieval", "answers", "analytics", "tables", "streams")
 
 
 def _pinned(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Timestamps are naive UTC in the data model: pin the session zone before the plan is made."""
+    """Pin the session settings (naive UTC timestamps among them) before the plan is made.
+
+    The workers get the package here, so a query runs from any folder.
+    """
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        tune(spark)
+        ship_package(spark)
         return run(spark, sf_dir)
 
     return query

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +31,24 @@ def build_session(app: str = "pagelore", master: str = "local[8]", shuffle_parti
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    tune(spark)
     return spark
 
 
+# The optimizer puts "array is not empty" filters below every explode and pushes them
+# through the projections that compute the array, so that a whole cleaning chain runs
+# two or more times per row.  Here arrays are computed, never stored: leave it out.
+EXCLUDED_RULE = "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"
+
+
+def tune(spark: SparkSession) -> None:
+    """Session settings the operators count on; safe to call again."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    excluded = spark.conf.get("spark.sql.optimizer.excludedRules", "") or ""
+    if EXCLUDED_RULE not in excluded:
+        spark.conf.set("spark.sql.optimizer.excludedRules", ",".join(filter(None, [excluded, EXCLUDED_RULE])))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder named by the cluster; a temporary one only where none is set."""
     configured = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -62,3 +79,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() * 2 > wanted:
         return df
     return df.repartition(wanted, *keys)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parent
+        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="pagelore-package-")) / "pagelore"), "zip", root.parent, root.name)
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
