@@ -142,7 +142,7 @@ def _cell_edges(cell: pd.DataFrame) -> pd.DataFrame:
     columns = ["owner_id", "source", "target", "similarity", "shared_count", "relationship", "shared_topics"]
     shared = sorted(set().union(*left["keywords"]) & set().union(*right["keywords"]), key=lambda w: (-len(w), w)) if len(left) and len(right) else []
     if not shared:
-        return pd.DataFrame(columns=columns)
+        return pd.DataFrame({c: pd.Series([], dtype=object if c in ("relationship", "shared_topics") else float) for c in columns})
     at = {w: i for i, w in enumerate(shared)}
 
     def incidence(rows: pd.DataFrame) -> np.ndarray:
@@ -166,7 +166,8 @@ def _cell_edges(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({
         "owner_id": cell["owner_id"].iloc[0], "source": np.minimum(ids_a[i], ids_b[j]), "target": np.maximum(ids_a[i], ids_b[j]),
         "similarity": sim, "shared_count": overlap[i, j].astype(int),
-        "relationship": np.where(sim > 0.15, "strong", np.where(sim > 0.07, "moderate", "weak")), "shared_topics": topics})[columns]
+        "relationship": pd.Series(["strong" if x > 0.15 else "moderate" if x > 0.07 else "weak" for x in sim], dtype=object),
+        "shared_topics": pd.Series(topics, dtype=object)})[columns]
 
 
 def doc_relationships(documents: DataFrame, keywords: DataFrame, block_docs: int = DOCS_PER_BLOCK) -> DataFrame:

@@ -126,7 +126,9 @@ def max_score() -> Column:
 
 
 def mean_score() -> Column:
-    return F.try_divide(_total(_scores()), F.size("hits"))
+    """Mean to four decimals, half up; scores hold four decimals, so whole units are added."""
+    units = _total(F.transform(_scores(), lambda x: F.round(x * 10000, 0)))
+    return F.floor(F.try_divide(units, F.size("hits")) + 0.5) / 10000
 
 
 def confidence_score() -> Column:

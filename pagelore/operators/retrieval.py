@@ -133,7 +133,7 @@ def _blocked_topk(q: DataFrame, v: DataFrame, k: int, exclude_self: bool, max_qu
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "vector_score": []})
+            return pd.DataFrame({"query_id": a["query_id"][:0].astype(object), "chunk_id": b["chunk_id"][:0].astype(object), "vector_score": np.empty(0)})
         return _block_topk(a["query_id"].to_numpy(), _unit(a["embedding"]), b["chunk_id"].to_numpy(), _unit(b["embedding"]), k, exclude_self)
 
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(meet, schema)

@@ -48,7 +48,7 @@ SELECT q.query_id, q.query, q.role, coalesce(CASE q.role WHEN 'student' THEN s.a
 FROM {queries} q LEFT JOIN {p}_student s USING (query_id) LEFT JOIN {p}_teacher t USING (query_id) LEFT JOIN {p}_researcher r USING (query_id)""",
           f"{p}_student", f"{p}_teacher", f"{p}_researcher", queries)
     C.add(f"{p}_sum", f"""
-SELECT query_id, count(*) AS n, count(DISTINCT document_id) AS docs, count(DISTINCT filename) AS files, max(final_score) AS top, avg(final_score) AS mean,
+SELECT query_id, count(*) AS n, count(DISTINCT document_id) AS docs, count(DISTINCT filename) AS files, max(final_score) AS top, floor(sum(round(final_score * 10000, 0)) / count(*) + 0.5) / 10000 AS mean,
        round(least(sum(final_score / rank) / (CASE WHEN max(final_score) > 0 THEN max(final_score) ELSE 1 END) / sum(1.0::DOUBLE / rank), 1.0), 4) AS confidence
 FROM {hits} GROUP BY 1""", hits)
     C.add(f"{p}_texts", f"""

@@ -238,7 +238,8 @@ def order_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("  ", F.lit("last"), F.col("o_orderstatus"), F.lit("z")),
         F.lit("End of order"),
     ))
-    return table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    return spread(orders, "o_orderkey").select(
         F.col("o_orderkey").alias("document_id"), F.lit(1).cast("long").alias("page_number"),
         F.array_join(rows, "\n").alias("text"),
     )

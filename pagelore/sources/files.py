@@ -20,14 +20,14 @@ def scan_uploads(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Da
         F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "path", "length", F.col("modificationTime").alias("modified_at"), "content")
 
 
-@F.pandas_udf("string")
-def _decomposed(names: pd.Series) -> pd.Series:
-    return names.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s))
-
-
 def safe_filename(c: Column) -> Column:
     """Decomposed name with anything but word characters, dots and dashes turned into underscores."""
-    c = F.regexp_replace(_decomposed(c), rf"[^\p{{L}}\p{{N}}_.\-]", "_")
+
+    @F.pandas_udf("string")
+    def decomposed(names: pd.Series) -> pd.Series:
+        return names.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s))
+
+    c = F.regexp_replace(decomposed(c), rf"[^\p{{L}}\p{{N}}_.\-]", "_")
     return F.trim(F.regexp_replace(c, "_+", "_"), F.lit("_"))
 
 
