@@ -25,7 +25,7 @@ HEADLINE = ["chunk_documents", "vector_topk", "bm25_scores", "hybrid_search", "r
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get("BENCH_QUERIES") else HEADLINE
     spark = build_session("bench", f"local[{cpus}]", max(cpus, 8))
     queries, seconds = catalog.queries(), {}
