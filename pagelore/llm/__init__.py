@@ -10,7 +10,7 @@ from importlib import import_module
 
 from pagelore.session import ship_package, tune
 
-MODULES = ("mixing", "url_rules", "topk", "shuffling")
+MODULES = ("mixing", "perplexity", "url_rules", "topk", "shuffling", "toxicity")
 
 
 def _ready(run):
