@@ -10,7 +10,7 @@ from importlib import import_module
 
 from pagelore.session import ship_package, tune
 
-MODULES = ("mixing", "perplexity", "url_rules", "topk", "shuffling", "toxicity")
+MODULES = ("mixing", "perplexity", "url_rules", "topk", "wrapper", "shuffling", "packing", "toxicity")
 
 
 def _ready(run):
