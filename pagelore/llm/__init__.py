@@ -10,7 +10,8 @@ from importlib import import_module
 
 from pagelore.session import ship_package, tune
 
-MODULES = ("mixing", "perplexity", "url_rules", "topk", "wrapper", "shuffling", "packing", "toxicity")
+MODULES = ("mixing", "perplexity", "url_rules", "topk", "wrapper", "shuffling", "packing", "order_minhash", "toxicity",
+           "fuzzy_lines")
 
 
 def _ready(run):
