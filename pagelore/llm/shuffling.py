@@ -4,8 +4,8 @@ Pass one scatters the records by a seeded hash into buckets small enough for a t
 Pass two shuffles each bucket (``shuffle`` over an array is a Fisher-Yates shuffle) and deals the
 records out in that order, so that shard counts differ by one at most.
 
-Buckets are numbered by the exchange itself: the scatter names its number of partitions, so
-the seeded shuffle of a bucket gives the same order whenever it is run or recomputed.
+The scatter names its number of partitions and the buckets of a partition are shuffled in order, so
+the seeded shuffle gives the same order whenever it is run or recomputed.
 """
 
 from __future__ import annotations
@@ -52,6 +52,7 @@ def external_shuffle(records: DataFrame, shards: int = SHARDS, seed: int = SEED,
     )
     shuffled = (
         tagged.repartition(int(buckets), "_bucket").groupBy("_bucket").agg(F.collect_list(F.struct("_order", "_row")).alias("_rows"))
+        .sortWithinPartitions("_bucket")  # buckets that share a partition draw from one generator, in this order
         .select("_bucket", F.shuffle(F.array_sort("_rows", lambda a, b: F.when(a["_order"] < b["_order"], -1).when(a["_order"] > b["_order"], 1).otherwise(0)), F.lit(seed)).alias("_rows"))
         .select("_bucket", F.posexplode("_rows").alias("_pos", "_item"))
     )
