@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ GROUP_DOCS = 4096
 QUADRATIC = 1.0 / 1024
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers in each of two generations.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 #: Words that are tokenized in one call.
 CALL_WORDS = 2000
 
@@ -59,10 +60,11 @@ class WordCache:
             texts = [w.decode("utf-8", "replace") for w in some]
             found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-            owner = np.searchsorted(starts, [a for a, _ in found.offsets], side="right") - 1
-            ids, edges = np.array(found.ids, dtype="<u2"), np.searchsorted(owner, np.arange(len(some) + 1))
-            for i, w in enumerate(some):
-                self.young[w] = ids[edges[i] : edges[i + 1]].tobytes()
+            first = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(found.ids))
+            edges = (2 * np.searchsorted(first, np.r_[starts, starts[-1] + len(texts[-1]) + 1])).tolist()
+            ids = np.array(found.ids, dtype="<u2").tobytes()
+            for w, a, b in zip(some, edges, edges[1:], strict=False):
+                self.young[w] = ids[a:b]
 
     def ids(self, text: str | None) -> bytes:
         words = (text or "").encode("utf-8", "replace").split()
@@ -80,6 +82,12 @@ class WordCache:
         return b"".join(map(young.__getitem__, words))
 
 
+@lru_cache(maxsize=1)
+def worker_cache(path: str) -> WordCache:
+    """One cache for all tasks that a worker runs."""
+    return WordCache(path)
+
+
 def balance(lengths: np.ndarray, capacity: int = MAX_TOKENS, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) that place each length in full, in as few sequences as can hold them."""
     n = -(-int(lengths.sum()) // capacity)
@@ -120,7 +128,7 @@ def pack(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS,
     path = path or vocabulary_path()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordCache(path)
+        cache = worker_cache(path)
         sequence = TaskContext.get().partitionId() << 32
         out: list[tuple] = []
         tails: list[tuple] = []

@@ -43,13 +43,15 @@ REPORTS = ("said", "says", "wrote", "called", "calls", "claimed", "quoted", "rep
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[^.!?;:\n]+")
+#: A negation or a reporting verb takes what follows it in the clause into its scope (lower-case symbols).
+SCOPE = re.compile(r"[NR].{0,8}")
 #: Composed patterns over clause symbols, strongest first, with the weight they have before any label is seen.
 PATTERNS = (
     ("insult_of_target", re.compile(r"T[^NR]{0,6}I|I[^NR]{0,6}T"), 0.90),
-    ("insult", re.compile(r"(?<![NR])I"), 0.80),
+    ("insult", re.compile(r"I"), 0.80),
     ("threat_to_target", re.compile(r"K[^NR]{0,4}T"), 0.70),
-    ("negated_insult", re.compile(r"N.{0,4}I"), 0.30),
-    ("reported_insult", re.compile(r"R.{0,8}I"), 0.30),
+    ("negated_insult", re.compile(r"N[a-z]*i"), 0.30),
+    ("reported_insult", re.compile(r"R[a-z]*i"), 0.30),
     ("threat", re.compile(r"K"), 0.20),
 )
 #: Weight of the prior, in rows.
@@ -99,12 +101,12 @@ class Grammar:
             clause = CLAUSE.match(text, start)
             end = clause.end()
             tape = "".join(self.symbol(w) for w in WORD.findall(clause.group()))
+            tape = SCOPE.sub(lambda m: m.group()[0] + m.group()[1:].lower(), tape)
             for name, pattern, _ in PATTERNS:
                 if pattern.search(tape):
                     found[name] += 1
                     break
-            if "J" in tape and not ("N" in tape or "R" in tape):
-                found["stray"] += tape.count("J")
+            found["stray"] += tape.count("J")
         if found["stray"]:
             found["words"] = len(WORD.findall(text))
         return +found

@@ -17,6 +17,8 @@ from pagelore.llm.common import own, replace, table
 LISTED = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.9
+#: A rule rests on so many blocked rows at least, however few are labelled.
+MIN_ROWS = 5
 BLOCK = "label:block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,12 +55,14 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, words))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS) -> DataFrame:
     """Inverted index ``token``, ``antecedent`` of the block rules mined from ``tokens``, ``blocked``.
 
     A rule stands under its rarest token.  No labelled row gives no rule.
     """
     baskets = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
+    # half a row less: the miner rounds up
+    min_support = min(1.0, max(min_support, (min_rows - 0.5) / max(labelled.count(), 1)))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter(F.col("consequent")[0] == BLOCK).select("antecedent")
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
@@ -123,7 +127,7 @@ subsets AS (
   FROM (SELECT blocked, tokens, unnest(range(1, CAST(1 << len(tokens) AS BIGINT))) AS mask FROM labelled)),
 rules AS (
   SELECT items FROM subsets GROUP BY items
-  HAVING count(*) FILTER (blocked) >= greatest(1, (SELECT ceil({MIN_SUPPORT} * count(*)) FROM labelled))
+  HAVING count(*) FILTER (blocked) >= greatest({MIN_ROWS}, (SELECT ceil({MIN_SUPPORT} * count(*)) FROM labelled))
     AND CAST(count(*) FILTER (blocked) AS DOUBLE) / count(*) >= {MIN_CONFIDENCE}),
 asked AS (SELECT DISTINCT host, path, tokens FROM urls WHERE listed IS NULL),
 hits AS (SELECT DISTINCT host, path FROM asked, rules WHERE list_has_all(tokens, items))

@@ -16,7 +16,7 @@ def test_topk_is_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_ROWS", 3)
     rng = np.random.default_rng(1)
     data = [(int(i), [float(np.float32(x)) for x in np.round(rng.normal(size=6), 1)], "s", "v") for i in range(300)]
-    data += [(300, None, "", ""), (400, [1.0, None, 0, 0, 0, 0], "", ""), (500, [1.0, float("nan")], "", ""), (600, [float("inf")], "", ""), (None, [1.0], "", ""), (700, data[100][1], "", ""), (8, data[8][1], "", "")]
+    data += [(300, None, "", ""), (400, [1.0, None, 0.0, 0.0, 0.0, 0.0], "", ""), (500, [1.0, float("nan")], "", ""), (600, [float("inf")], "", ""), (None, [1.0], "", ""), (700, data[100][1], "", ""), (8, data[8][1], "", "")]
     vectors = spark.createDataFrame(data, VECTORS)
     got = sorted(map(tuple, topk.exact_topk(vectors, vectors.filter("vec_id % 100 = 0")).collect()))
     sound = [(i, [math.floor(1024 * x) for x in v]) for i, v, *_ in data if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
@@ -35,14 +35,15 @@ def test_topk_with_few_candidates_and_large_numbers(spark):
     assert got == [(0, 1, 1, int(1024e9) * 1024 + 3072 * int(1024e8)), (0, 2, 2, int(1024e9) * 1024)]
 
 
-URLS = ["http://a.example.org/en/1x", "https://EXAMPLE.org/es/3?q=1", "x://shop.com/de/7", "x://shop.com/de/8", "x://shop.com/de/9", "x://a.com/fr/1#t",
+URLS = [*["x://shop.com/de/7"] * 3, "http://a.example.org/en/1x", "https://EXAMPLE.org/es/3?q=1", "x://shop.com/de/7", "x://shop.com/de/8", "x://shop.com/de/9", "x://shop.org/", "x://a.com/fr/1#t",
         "x://shop.net/de/4", "x://b.net/en/5", "x://org", "x://org/", "notaurl", "", None, "x://?q", "x://shop.net/de/4", "x://com.example/de/", "http://HÖST.net/Ä/1"]
 
 
 def test_url_verdicts(spark):
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(URLS)], "page_id long, url string, host string, verdict string")
-    got = {r.page_id: r for r in url_rules.judge_urls(pages).collect()}
-    assert len(got) == len(URLS)
+    judged = {r.page_id: r for r in url_rules.judge_urls(pages).collect()}
+    assert len(judged) == len(URLS)
+    got = {k - 3 - (k > 8): r for k, r in judged.items() if k >= 3 and k != 8}
     assert (got[0].rule, got[0].verdict) == ("example.org/en/1", "block")
     assert (got[1].host, got[1].path, got[1].rule) == ("example.org", "/es/3", "example.org/es/")
     assert got[2].verdict == "block" and got[5].rule == "com/fr/"
@@ -57,7 +58,7 @@ def test_mined_rules_are_all_frequent_confident_sets(spark):
     pages = spark.createDataFrame([(i, f"x://{h}.com/{p}/{i}") for i, (h, p) in enumerate([("a", "de"), ("a", "de"), ("a", "en"), ("b", "en"), ("b", "de"), ("c", "en")] * 4)], "page_id long, url string")
     cut = pages.select(url_rules.host_of(url_rules.F.col("url")).alias("host"), url_rules.path_of(url_rules.F.col("url")).alias("path")).withColumn("blocked", url_rules.F.col("path").startswith("/de"))
     data = [(tuple(r.tokens), r.blocked) for r in cut.select(url_rules.tokens(url_rules.F.col("host"), url_rules.F.col("path")).alias("tokens"), "blocked").collect()]
-    got = {frozenset(r.antecedent) for r in url_rules.mine(cut.select(url_rules.tokens(url_rules.F.col("host"), url_rules.F.col("path")).alias("tokens"), "blocked"), 0.2, 0.9).collect()}
+    got = {frozenset(r.antecedent) for r in url_rules.mine(cut.select(url_rules.tokens(url_rules.F.col("host"), url_rules.F.col("path")).alias("tokens"), "blocked"), 0.2, 0.9, 1).collect()}
     want = set()
     for n in range(1, 6):
         for items in {frozenset(c) for t, _ in data for c in combinations(t, n)}:
