@@ -77,10 +77,10 @@ MATERIAL_NOISE = (
     r"(?i)\[/?TABLE\]",
     r"(?m)^[^\n|]*\|[^\n|]*\|[^\n]*",
     rf"{S}*\|{S}*",
-    rf"\b[0-9]{{1,3}}{S}*/{S}*[0-9]{{2,3}}\b",
+    rf"\b{D}{{1,3}}{S}*/{S}*{D}{{2,3}}\b",
     r"[-=_]{3,}",
-    rf"\b[A-Z]{{2,4}}{S}*[0-9]{{3,5}}\b",
-    r"\([0-9]-[0-9]-[0-9]\)",
+    rf"\b[A-Z]{{2,4}}{S}*{D}{{3,5}}\b",
+    rf"\({D}-{D}-{D}\)",
 )
 
 # --- language detection ------------------------------------------------------
@@ -141,7 +141,7 @@ DETERMINERS = (
 )
 RELATED_STOP = (
     "the a an is are was were be been being have has had do does did will would could should may might can shall "
-    "of in to for on at by with from and or but not this that it its"
+    "of in to for with on at by from and or but not this that it its"
 ).split()
 CONTEXT_STOP = (
     "the a an is are was were be been being have has had do does did will would could should may might of in to "

@@ -276,7 +276,7 @@ def document_detail(documents: DataFrame, chunks: DataFrame, page_counts: DataFr
     d = documents.withColumnRenamed("id", "document_id")
     return d.join(counts, "document_id", "left").join(page_counts, "document_id", "left").select(
         "document_id", F.col("original_name").alias("filename"), "status", _zero("page_count"), "file_size",
-        F.sha2("text", 256).alias("file_hash"), _zero("chunk_count"), "created_at")
+        "file_hash", _zero("chunk_count"), "created_at")
 
 
 def owner_row_filter(rows: DataFrame, principals: DataFrame, owner: str = "owner_id", roles: Iterable[str] = ()) -> DataFrame:

@@ -56,14 +56,14 @@ def extract_metadata(raw: DataFrame) -> DataFrame:
         ).alias(name)
         for name in META_FIELDS
     ]
-    return raw.groupBy("document_id").agg(
-        F.min_by("html", "page_number").alias("html"), F.count(F.lit(1)).alias("page_count")
-    ).select(
-        "document_id",
+    first = F.struct(
         F.coalesce(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1), F.lit("")).alias("title"),
         F.coalesce(F.regexp_extract(html, r'(?is)<html[^>]*lang="([^"]*)"', 1), F.lit("")).alias("language"),
-        *fields, "page_count",
-    )
+        *fields)
+    # the fields are cut out of each page, so that no page text is aggregated or shuffled
+    return raw.select("document_id", "page_number", first.alias("first")).groupBy("document_id").agg(
+        F.min_by("first", "page_number").alias("first"), F.count(F.lit(1)).alias("page_count")
+    ).select("document_id", "first.*", "page_count")
 
 
 def page_has_tables(pages: DataFrame, text: str = "text") -> DataFrame:

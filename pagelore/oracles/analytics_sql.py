@@ -193,8 +193,8 @@ LEFT JOIN docs_v d ON d.id = r.document_id""", "progress_v", "docs_v"),
     "preferences_with_defaults": C.sql("SELECT u.id AS user_id, coalesce(theme, 'light') AS theme, coalesce(language, 'en') AS language, "
                                        "coalesce(preferences_json, '{}') AS preferences_json FROM users_v u LEFT JOIN prefs_v p ON p.user_id = u.id", "users_v", "prefs_v"),
     "list_tasks": C.sql(f"SELECT user_id, t.id, document_id, original_name AS document_name, {ts('due_date')}, priority, t.status, {ts('t.created_at')} "
-                        "FROM tasks_v t LEFT JOIN docs_v d ON d.id = t.document_id WHERE t.status = 'todo'", "tasks_v", "docs_v"),
-    "task_board": C.sql(f"SELECT user_id, status AS lane, id, priority, {ts('due_date')} FROM tasks_v WHERE priority = 'high'", "tasks_v"),
+                        "FROM tasks_v t LEFT JOIN docs_v d ON d.id = t.document_id", "tasks_v", "docs_v"),
+    "task_board": C.sql(f"SELECT user_id, status AS lane, id, priority, {ts('due_date')} FROM tasks_v", "tasks_v"),
     "task_stats": C.sql("""
 SELECT user_id, count(*) AS total, count(*) FILTER (status = 'todo') AS todo, count(*) FILTER (status = 'in_progress') AS in_progress, count(*) FILTER (status = 'done') AS done,
        count(*) FILTER (due_date < ts AND status <> 'done') AS overdue, round((count(*) FILTER (status = 'done'))::DOUBLE / count(*) * 100, 1) AS completion_rate

@@ -27,6 +27,6 @@ SQL = {
     "cache_hits_ttl": _HITS,
     "cache_hits_stream": _HITS,
     "recent_activity": _WINDOWS,
-    "recent_activity_stream": f"SELECT * FROM ({_WINDOWS}) WHERE window_end <= (SELECT strftime(max(ts) - INTERVAL '1' HOUR, '%Y-%m-%d %H:%M:%S') FROM events)",
+    "recent_activity_stream": _WINDOWS,
     "feedback_live": ANALYTICS["feedback_stats"],
 }

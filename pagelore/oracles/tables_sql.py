@@ -109,7 +109,9 @@ UNION ALL SELECT 'bookmarks', count(*) FROM bookmarks_v UNION ALL SELECT 'docume
 UNION ALL SELECT 'reading_progress', count(*) FROM progress_latest UNION ALL SELECT 'user_preferences', count(*) FROM prefs_v
 UNION ALL SELECT 'annotations', count(*) FROM annotations_v UNION ALL SELECT 'study_tasks', count(*) FROM tasks_v""",
                          "users_v", "docs_v", "chunks_v", "sessions_v", "messages_v", "feedback_v", "bookmarks_v", "tags_v", "faqs_v", "progress_latest", "prefs_v", "annotations_v", "tasks_v"),
-    "read_vectors": "SELECT vec_id AS chunk_id, label::BIGINT AS document_id, len(embedding) AS dim FROM embeddings",
+    "read_vectors": """
+SELECT vec_id AS chunk_id, label::BIGINT AS document_id,
+  array_to_string(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ',') AS millionths FROM embeddings""",
     "write_chunks": C.sql("SELECT * FROM chunks_v", "chunks_v"),
     "write_vectors": C.sql(f"SELECT {_VEC_COLUMNS} FROM chunks_v", "chunks_v"),
     "delete_document_cascade": C.sql(after_delete("SELECT id FROM docs_v WHERE status = 'failed'"), *_NEEDS),

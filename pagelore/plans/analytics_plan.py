@@ -19,7 +19,7 @@ def stamp(name: str) -> Column:
 
 
 def page_counts(spark: SparkSession, d: str) -> DataFrame:
-    return pg.page_count(fx.documents(spark, d), fx.pages(spark, d))
+    return fx.page_counts(spark, d)
 
 
 def keywords(spark: SparkSession, d: str) -> DataFrame:
@@ -89,9 +89,9 @@ QUERIES = {
     "list_annotations": lambda s, d: ac.list_annotations(fx.annotations(s, d)).withColumn("created_at", stamp("created_at")),
     "reading_progress": lambda s, d: ac.reading_progress(progress_requests(s, d), ac.latest_progress(fx.progress_updates(s, d)), fx.documents(s, d)),
     "preferences_with_defaults": lambda s, d: ac.preferences_with_defaults(fx.users(s, d), fx.preferences(s, d)),
-    "list_tasks": lambda s, d: ac.list_tasks(fx.tasks(s, d), fx.documents(s, d), status="todo").withColumn(
+    "list_tasks": lambda s, d: ac.list_tasks(fx.tasks(s, d), fx.documents(s, d)).withColumn(
         "due_date", stamp("due_date")).withColumn("created_at", stamp("created_at")),
-    "task_board": lambda s, d: ac.task_board(fx.tasks(s, d), priority="high").withColumn("due_date", stamp("due_date")),
+    "task_board": lambda s, d: ac.task_board(fx.tasks(s, d)).withColumn("due_date", stamp("due_date")),
     "task_stats": lambda s, d: ac.task_stats(fx.tasks(s, d), fx.task_as_of(s, d)),
     "confidence_band": lambda s, d: ac.confidence_band(fx.messages(s, d)),
     "flashcard_progress": lambda s, d: ac.flashcard_progress(fx.cards(s, d), fx.card_marks(s, d)),

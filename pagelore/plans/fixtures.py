@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelore.functions import text as tx
@@ -36,10 +36,9 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
-    return docs.select(
+def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a document's own row gives without a join, its text hashed and its pages counted at the scan."""
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         F.expr(
             "concat('doc_', doc_id, CASE WHEN doc_id % 50 = 7 THEN '.txt' ELSE '.pdf' END)"
@@ -47,15 +46,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_chars").alias("file_size"),
         F.expr("CAST(substr(source, 4) AS BIGINT)").alias("owner_id"),
         "lang",
+        F.expr(f"{EPOCH} + doc_id * INTERVAL '1' MINUTE").alias("created_at"),
+        F.sha2("text", 256).alias("file_hash"),
+        page_count(F.col("text")).alias("page_count"),
+        "text",
+    )
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with their status.  Texts are dropped before the join wherever a query does not select them."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    docs = document_rows(spark, sf_dir)
+    return docs.join(labels, docs["id"] == labels["doc_id"], "left").select(
+        "id", "original_name", "file_size", "owner_id", "lang",
         F.expr(
             "CASE WHEN quality IS NULL THEN 'uploaded' WHEN toxic = 1 THEN 'failed' "
             "WHEN quality = 1 THEN 'processed' ELSE 'processing' END"
         ).alias("status"),
-        F.expr(f"{EPOCH} + doc_id * INTERVAL '1' MINUTE").alias("created_at"),
-        "text",
+        "created_at", "text", "file_hash",
     )
 
 
+def page_count(text: Column) -> Column:
+    """Pages of a text by its lines; a null text has none."""
+    return F.coalesce(F.floor((F.size(F.split(text, "\n")) - 1) / LINES_PER_PAGE) + 1, F.lit(0)).cast("long")
+
+
+def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_rows(spark, sf_dir).select(F.col("id").alias("document_id"), "page_count")
+
+
 def cut_pages(texts_df: DataFrame) -> DataFrame:
     """Twenty lines make a page; cut inside the row, so no shuffle is needed."""
     numbered = F.transform(

@@ -46,7 +46,7 @@ def grids(spark: SparkSession, d: str) -> DataFrame:
 def page_tables(spark: SparkSession, d: str) -> DataFrame:
     """Best flavour per document, cleaned, as text per page."""
     found = pg.clean_tables(pg.table_from_cells(pg.table_flavour_fallback(grids(spark, d))))
-    counts = pg.page_count(fx.documents(spark, d), fx.pages(spark, d))
+    counts = fx.page_counts(spark, d)
     return pg.tables_by_page(found, counts)
 
 
@@ -105,7 +105,7 @@ QUERIES = {
     "full_text": lambda s, d: pg.full_text(merged(s, d)),
     "document_status": lambda s, d: pg.document_status(fx.documents(s, d), merged(s, d), status_errors(s, d)),
     "single_page_text": lambda s, d: pg.single_page_text(page_requests(s, d), fx.pages(s, d)),
-    "page_count": lambda s, d: pg.page_count(fx.documents(s, d), fx.pages(s, d)),
+    "page_count": fx.page_counts,
     "chunk_pages": lambda s, d: ch.chunk_pages(fx.pages(s, d)),
     "chunk_documents": chunks,
     "chunk_tables": lambda s, d: ch.chunk_tables(page_tables(s, d)),

@@ -38,7 +38,7 @@ def q_dedupe(spark: SparkSession, d: str) -> DataFrame:
     hashed = source(spark, d, "documents").select(
         "doc_id", F.sha2("text", 256).alias("file_hash"),
         F.expr(f"CAST({fx.EPOCH} + doc_id * INTERVAL '1' MINUTE AS timestamp)").alias("arrived_at"))
-    stored = fx.documents(spark, d).filter("status = 'processed'").select(F.sha2("text", 256).alias("file_hash"))
+    stored = fx.documents(spark, d).filter("status = 'processed'").select("file_hash")
     jobs.run_available(jobs.dedupe(hashed, stored), jobs.batch_writer(f"{folder}/out"), f"{folder}/progress")
     return spark.read.parquet(f"{folder}/out").select("file_hash")
 
@@ -60,15 +60,15 @@ def stamped(df: DataFrame) -> DataFrame:
 def q_recent_stream(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "recent")
     events = source(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("at"))
-    jobs.run_available(jobs.recent_activity(events), jobs.batch_writer(f"{folder}/out"), f"{folder}/progress")
-    return stamped(spark.read.parquet(f"{folder}/out"))
+    jobs.run_available(jobs.recent_activity(events), jobs.batch_writer(f"{folder}/out"), f"{folder}/progress", "update")
+    return stamped(jobs.newest_rows(spark, f"{folder}/out", "window_start", "window_end", "event_type"))
 
 
 def q_feedback_live(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "feedback")
     rated = fx.feedback_of(source(spark, d, "events"))
-    jobs.run_available(jobs.feedback_live(rated), jobs.latest_writer(f"{folder}/out"), f"{folder}/progress", "complete")
-    return spark.read.parquet(f"{folder}/out")
+    jobs.run_available(jobs.feedback_live(rated), jobs.batch_writer(f"{folder}/out"), f"{folder}/progress", "complete")
+    return jobs.newest_batch(spark, f"{folder}/out")
 
 
 QUERIES = {

@@ -28,25 +28,25 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def uploads(spark: SparkSession, d: str) -> DataFrame:
     """Documents as uploads: odd names, foreign content types and oversized files among them."""
-    docs = fx.documents(spark, d)
+    docs = fx.document_rows(spark, d)
     return docs.select(
         F.col("id").alias("upload_id"),
         F.expr("CASE WHEN id % 60 = 3 THEN '' WHEN id % 70 = 4 THEN concat('dir.v2/scan_', id) "
                "WHEN id % 40 = 9 THEN concat('Report ', id, '.PDF') ELSE original_name END").alias("original_name"),
         F.expr("CASE WHEN id % 45 = 2 THEN 'text/plain' WHEN id % 30 = 8 THEN '' ELSE 'application/pdf' END").alias("content_type"),
-        F.expr("file_size * CASE WHEN id % 80 = 6 THEN 100000 ELSE 1 END").alias("file_size"), "owner_id", "text")
+        F.expr("file_size * CASE WHEN id % 80 = 6 THEN 100000 ELSE 1 END").alias("file_size"), "owner_id", "file_hash")
 
 
 def hashed(spark: SparkSession, d: str) -> DataFrame:
-    return fx.documents(spark, d).select("id", files.file_hash(F.col("text")).alias("file_hash"))
+    return fx.document_rows(spark, d).select("id", "file_hash")
 
 
 def q_register(spark: SparkSession, d: str) -> DataFrame:
     good = mt.validate_uploads(uploads(spark, d)).filter("reject_reason IS NULL").select(
         "upload_id", F.concat(F.lit("u_"), F.col("upload_id").cast("string"), F.lit("_"), files.safe_filename(F.coalesce(F.nullif("original_name", F.lit("")), F.lit("document.pdf")))).alias("filename"),
         F.coalesce(F.nullif("original_name", F.lit("")), F.lit("document.pdf")).alias("original_name"), "file_size",
-        files.file_hash(F.col("text")).alias("file_hash"), "owner_id")
-    return mt.register_documents(good, fx.documents(spark, d).agg(F.max("id").alias("max_id")))
+        "file_hash", "owner_id")
+    return mt.register_documents(good, fx.table(spark, d, "documents").select(F.col("doc_id").alias("id")).agg(F.max("id").alias("max_id")))
 
 
 def tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -101,7 +101,7 @@ def q_merge_progress(spark: SparkSession, d: str) -> DataFrame:
     batch = rows.filter("version_key % 2 = 1").withColumn(
         "user_id", F.when(F.col("version_key") % 5 == 0, F.col("document_id") % 20).otherwise(F.col("user_id"))).withColumn(
         "total_pages", F.when(F.col("version_key") % 4 == 1, F.col("total_pages"))).withColumn("completed", F.when(F.col("version_key") % 7 == 0, F.col("completed")))
-    return mt.merge_progress(stored, batch, docs, pg.page_count(docs, fx.pages(spark, d)))
+    return mt.merge_progress(stored, batch, docs, fx.page_counts(spark, d))
 
 
 def task_patches(spark: SparkSession, d: str) -> DataFrame:
@@ -164,21 +164,40 @@ def q_processed(spark: SparkSession, d: str) -> DataFrame:
         "document_id", "filename", F.col("version").cast("long").alias("version"), "page_number", "merged_text", F.array_join("source_types", ",").alias("source_types"))
 
 
+def in_batches(rows: DataFrame, folder: str, write) -> None:
+    """Odd documents, then even ones, then every third again, and the last batch a second time."""
+    again = rows.filter("document_id % 3 = 0")
+    for batch_id, part in ((0, rows.filter("document_id % 2 = 1")), (1, rows.filter("document_id % 2 = 0")), (2, again), (2, again)):
+        write(part, folder, batch_id)
+
+
 def q_write_chunks(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "chunks")
-    for _ in range(2):  # the second run replaces the first
-        files.write_chunks(sh.chunks(spark, d), folder)
+    in_batches(sh.chunks(spark, d), folder, files.write_chunks)
     return files.read_chunks(spark, folder).select(*sh.chunks(spark, d).columns)
 
 
 def q_write_vectors(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "vectors")
-    files.write_vectors(sh.chunk_vectors(spark, d), folder)
+    in_batches(sh.chunk_vectors(spark, d), folder, files.write_vectors)
     v = files.read_vectors(spark, folder)
     return v.select("chunk_id", "document_id", "page_number", "chunk_index", "source_type", "content", "char_count",
                     F.size("embedding").cast("long").alias("dim"))
 
 
+def q_read_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The given vectors stored in two batches and read back, every component of them."""
+    folder = scratch(spark, "given-vectors")
+    v = fx.vectors(spark, d).withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    for name in ("page_number", "chunk_index", "char_count"):
+        v = v.withColumn(name, F.lit(0).cast("long"))
+    v = v.withColumn("source_type", F.lit("digital")).withColumn("content", F.lit(""))
+    files.write_vectors(v.filter("document_id % 2 = 1"), folder, 0)
+    files.write_vectors(v.filter("document_id % 2 = 0"), folder, 1)
+    values = F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1_000_000).cast("long").cast("string")), ",")
+    return files.read_vectors(spark, folder).select(F.col("chunk_id").cast("long").alias("chunk_id"), "document_id", values.alias("millionths"))
+
+
 def q_read_tables(spark: SparkSession, d: str) -> DataFrame:
     """Write all thirteen tables, scan them back with their fixed schemas and count."""
     folder = scratch(spark, "tables")
@@ -195,7 +214,6 @@ def q_read_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "scan_uploads": lambda s, d: files.scan_uploads(s, d, "*.parquet").select("filename", "length"),
     "validate_uploads": lambda s, d: mt.validate_uploads(uploads(s, d)).select("upload_id", "original_name", "reject_reason"),
     "safe_filename": lambda s, d: fx.web_pages(s, d).select("document_id", files.safe_filename(F.col("url")).alias("name")),
     "file_hash": hashed,
@@ -205,7 +223,7 @@ QUERIES = {
     "read_processed": lambda s, d: q_processed(s, d).groupBy("document_id").agg(
         F.count(F.lit(1)).alias("n_pages"), F.sum(F.length("merged_text")).alias("n_chars")),
     "read_tables": q_read_tables,
-    "read_vectors": lambda s, d: fx.vectors(s, d).select("chunk_id", "document_id", F.size("embedding").cast("long").alias("dim")),
+    "read_vectors": q_read_vectors,
     "write_chunks": q_write_chunks,
     "write_vectors": q_write_vectors,
     "delete_document_cascade": q_delete_documents,

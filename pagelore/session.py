@@ -65,17 +65,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the checked row count is within the bound.
-
-    The check stops after ``max_rows + 1`` rows; a larger side stays a normal
-    shuffled join, which adaptive execution splits when a key is hot.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-spread a scan that arrives in fewer splits than there are cores.
 

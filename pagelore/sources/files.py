@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from pagelore import schemas
 
-CHUNK_BUCKETS = 64
-
 
 # --- uploads -------------------------------------------------------------------
 def scan_uploads(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
@@ -65,23 +63,44 @@ def read_processed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # --- chunks and vectors ------------------------------------------------------------
-def write_chunks(chunks: DataFrame, folder: str, buckets: int = CHUNK_BUCKETS) -> None:
-    """Chunk rows by document bucket.  Writing a document again replaces its bucket, so the
-    caller passes the whole buckets it touches; a repeated run leaves the same files."""
-    keyed = chunks.withColumn("embedding_id", F.col("chunk_id")).withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)))
-    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+def write_batch(rows: DataFrame, folder: str, batch_id: int, documents: DataFrame | None = None) -> None:
+    """Rows of some documents as one batch of a store.
 
+    Nothing outside the batch is touched: a document that is written again is superseded when the
+    store is read, all others stay.  A repeated run under the same batch id replaces its own files.
+    ``documents`` (``document_id``) are all that the batch covers; one without rows is then emptied.
+    """
+    tagged = rows.withColumn("_covered", F.lit(False))
+    if documents is not None:
+        tagged = tagged.unionByName(documents.select("document_id").distinct().withColumn("_covered", F.lit(True)), allowMissingColumns=True)
+    tagged.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
-def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder).drop("bucket", "embedding_id")
 
+def read_newest(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each document the rows of the newest batch that covers it."""
+    stored = spark.read.parquet(folder)
+    newest = stored.groupBy("document_id").agg(F.max("batch_id").alias("batch_id"))
+    return stored.join(newest, ["document_id", "batch_id"], "left_semi").filter(~F.col("_covered")).drop("batch_id", "_covered")
 
-def write_vectors(vectors: DataFrame, folder: str) -> None:
-    """Ids, vectors, text and metadata appended as Parquet."""
-    vectors.selectExpr(*[c.split(" ")[0] for c in schemas.CHUNK_VECTORS.split(", ")]).write.mode("append").parquet(folder)
 
+def compact(spark: SparkSession, folder: str, target: str) -> None:
+    """The newest rows as the first batch of a new store, for when superseded rows weigh too much."""
+    write_batch(read_newest(spark, folder), target, 0)
+
+
+def write_chunks(chunks: DataFrame, folder: str, batch_id: int, documents: DataFrame | None = None) -> None:
+    write_batch(chunks.withColumn("embedding_id", F.col("chunk_id")), folder, batch_id, documents)
 
-def read_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(schemas.CHUNK_VECTORS).parquet(folder)
 
+def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return read_newest(spark, folder).drop("embedding_id")
+
+
+def write_vectors(vectors: DataFrame, folder: str, batch_id: int, documents: DataFrame | None = None) -> None:
+    """Ids, vectors, text and metadata."""
+    write_batch(vectors.selectExpr(*[c.split(" ")[0] for c in schemas.CHUNK_VECTORS.split(", ")]), folder, batch_id, documents)
 
+
+def read_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    columns = [c.split(" ")[0] for c in schemas.CHUNK_VECTORS.split(", ")]
+    return read_newest(spark, folder).select(*columns)

@@ -41,12 +41,17 @@ def batch_writer(folder: str, prepare: Callable[[DataFrame], DataFrame] = lambda
     return write
 
 
-def latest_writer(folder: str) -> Callable[[DataFrame, int], None]:
-    """For complete mode: the newest batch holds the whole result."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(folder)
+def newest_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """For complete mode: the newest batch holds the whole result.  Earlier ones stay for those who read them."""
+    stored = spark.read.parquet(folder)
+    return stored.join(F.broadcast(stored.agg(F.max("batch_id").alias("batch_id"))), "batch_id", "left_semi").drop("batch_id")
 
-    return write
+
+def newest_rows(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
+    """For update mode: of each key the row of the newest batch that gave one."""
+    stored = spark.read.parquet(folder)
+    values = F.struct(*[c for c in stored.columns if c not in (*keys, "batch_id")])
+    return stored.groupBy(*keys).agg(F.max_by(values, "batch_id").alias("row")).select(*keys, "row.*")
 
 
 def ingest(uploads: DataFrame, folder: str, checkpoint: str, to_pages: Callable[[DataFrame], DataFrame]) -> None:
@@ -86,10 +91,12 @@ def cache_state(requests: DataFrame, ttl_seconds: int = fv.CACHE_TTL_SECONDS, de
             return
         got = pd.concat(list(batches)).sort_values(["at", "event_id"])
         hits, last = ca.judge(got["at"].to_numpy(), ttl, state.get[0] if state.exists else ca.NEVER)
-        state.update((last,))
         expires = (last + ttl) // 1000 + 1
         if expires > state.getCurrentWatermarkMs():
+            state.update((last,))
             state.setTimeoutTimestamp(expires)
+        elif state.exists:
+            state.remove()  # no request that may still come falls within its life
         yield pd.DataFrame({"event_id": got["event_id"], "cache_key": key[0], "is_hit": hits})
 
     timed = requests.withWatermark("asked_at", delay).withColumn("at", F.unix_micros("asked_at"))
@@ -103,8 +110,11 @@ def activity_windows(events: DataFrame, time: str, size: str = "7 days", slide:
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "n")
 
 
-def recent_activity(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Windows that have closed, each given out once; rows behind the watermark are dropped."""
+def recent_activity(events: DataFrame, delay: str = "30 days") -> DataFrame:
+    """Counts of every window, open ones too, given out again whenever they change (update mode).
+
+    ``delay`` bounds the state: rows that come later than that after newer ones are not counted any more.
+    """
     return activity_windows(events.withWatermark("at", delay), "at")
 
 
