@@ -284,20 +284,34 @@ def extractive_context(requests: DataFrame, top_n: int = 8) -> DataFrame:
     return requests.select("query_id", focus_context(F.col("query"), F.col("context"), top_n).alias("context"))
 
 
-def extractive_fallback_answer(requests: DataFrame) -> DataFrame:
-    context = F.coalesce("context", F.lit(""))
-    text = tx.let(tx.strip(focus_context(F.col("query"), context, 4)), lambda t: F.when(
+def direct_text(query: Column, context: Column) -> Column:
+    return tx.let(tx.strip(focus_context(query, context, 4)), lambda t: F.when(
         (F.length(tx.strip(context)) > 50) & (F.length(t) > 30),
         F.concat(F.lit(fv.MSG_FALLBACK_HEAD), t, F.lit(fv.MSG_FALLBACK_TAIL))).otherwise(F.lit(fv.MSG_FALLBACK_NONE)))
-    return requests.select("query_id", text.alias("answer"))
 
 
-def answer_mode(rows: DataFrame) -> DataFrame:
-    """pdf and both keep the grounded answer, ai takes the direct one."""
-    direct = F.col("answer_mode") == "ai"
+def extractive_fallback_answer(requests: DataFrame) -> DataFrame:
+    return requests.select("query_id", direct_text(F.col("query"), F.coalesce("context", F.lit(""))).alias("answer"))
+
+
+def answer_mode(answers: DataFrame, modes: DataFrame) -> DataFrame:
+    """The answer by mode (``pdf``, ``ai``, ``both``) from composed answers.
+
+    ``pdf`` and ``both`` keep the grounded answer, its confidence, sources and reasoning.  ``ai`` searches nothing:
+    its direct answer has no context, no sources and confidence 0.  ``both`` adds a direct answer over the
+    previews of the grounded answer's sources, which are none where nothing relevant was found.
+    """
+    mode = F.col("answer_mode")
+    previews = F.array_join(F.transform("sources", lambda x: x["content_preview"]), " ")
+    rows = answers.join(modes, "query_id").withColumn("context", F.when(mode == "both", previews).otherwise(F.lit("")))
+    ai = mode == "ai"
+    direct = direct_text(F.col("query"), F.col("context"))
     return rows.select(
-        "query_id", "answer_mode", F.when(direct, F.col("direct_answer")).otherwise(F.col("pdf_answer")).alias("answer"),
-        F.when(direct, F.lit(fv.MSG_AI_REASON)).otherwise(F.col("reasoning")).alias("reasoning"))
+        "query_id", "answer_mode", F.when(ai, direct).otherwise(F.col("answer")).alias("answer"),
+        F.when(mode != "pdf", direct).alias("direct_ai_answer"),
+        F.when(ai, F.lit(0.0)).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(ai, F.slice("sources", 1, 0)).otherwise(F.col("sources")).alias("sources"),
+        F.when(ai, F.lit(fv.MSG_AI_REASON)).otherwise(F.col("reasoning")).alias("reasoning"))
 
 
 def confidence_level(c: Column) -> Column:

@@ -148,10 +148,12 @@ SQL = {
     "extractive_context": C.sql("SELECT query_id, context FROM focus8", "focus8"),
     "extractive_fallback_answer": C.sql("SELECT * FROM fallback_v", "fallback_v"),
     "answer_mode": C.sql(f"""
-SELECT b.query_id, m.mode AS answer_mode, CASE WHEN mode = 'ai' THEN f.answer ELSE b.answer END AS answer,
-       CASE WHEN mode = 'ai' THEN {dk.q(fv.MSG_AI_REASON)} ELSE t.reasoning END AS reasoning
-FROM ans_by_role b JOIN (SELECT query_id, ['pdf', 'ai', 'both'][query_id % 3 + 1] AS mode FROM questions_v) m USING (query_id)
-JOIN fallback_v f USING (query_id) LEFT JOIN ans_texts t USING (query_id)""", "ans_by_role", "fallback_v", "ans_texts", "questions_v"),
+SELECT query_id, mode AS answer_mode, CASE WHEN mode = 'ai' THEN {dk.q(fv.MSG_FALLBACK_NONE)} ELSE a.answer END AS answer,
+       CASE mode WHEN 'ai' THEN {dk.q(fv.MSG_FALLBACK_NONE)} WHEN 'both' THEN CASE WHEN a.sources = '' THEN {dk.q(fv.MSG_FALLBACK_NONE)} ELSE f.answer END END AS direct_ai_answer,
+       CASE WHEN mode = 'ai' THEN 0.0 ELSE a.confidence END AS confidence, CASE WHEN mode = 'ai' THEN '' ELSE a.sources END AS sources,
+       CASE WHEN mode = 'ai' THEN {dk.q(fv.MSG_AI_REASON)} ELSE a.reasoning END AS reasoning
+FROM ans_answers a JOIN (SELECT query_id, ['pdf', 'ai', 'both'][query_id % 3 + 1] AS mode FROM questions_v) m USING (query_id)
+JOIN fallback_v f USING (query_id)""", "ans_answers", "fallback_v", "questions_v"),
     "explain_confidence": C.sql(f"""
 SELECT query_id, coalesce(confidence, 0.0) AS score, CASE WHEN confidence > 0.7 THEN 'high' WHEN confidence > 0.4 THEN 'medium' ELSE 'low' END AS level,
        concat_ws({NL}, CASE WHEN n >= 3 THEN 'Multiple sources found / positive / ' || n || ' relevant sources identified'

@@ -40,11 +40,9 @@ def q_compare(spark: SparkSession, d: str) -> DataFrame:
 
 def q_answer_mode(spark: SparkSession, d: str) -> DataFrame:
     mode = F.element_at(F.array(F.lit("pdf"), F.lit("ai"), F.lit("both")), (F.col("query_id") % 3 + 1).cast("int"))
-    hits = sh.hits(spark, d)
-    grounded = an.answer_by_role(sh.questions(spark, d), hits).select("query_id", F.col("answer").alias("pdf_answer"))
-    direct = an.extractive_fallback_answer(contexts(spark, d)).withColumnRenamed("answer", "direct_answer")
-    rows = grounded.join(direct, "query_id").join(an.reasoning(hits), "query_id", "left").withColumn("answer_mode", mode)
-    return an.answer_mode(rows)
+    asked = sh.questions(spark, d)
+    answers = an.compose_answers(asked, sh.hits(spark, d))
+    return flat_answers(an.answer_mode(answers, asked.select("query_id", mode.alias("answer_mode"))))
 
 
 def q_explain(spark: SparkSession, d: str) -> DataFrame:
