@@ -233,7 +233,7 @@ def compose_answers(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 def rag_query(queries: DataFrame, vectors: DataFrame, documents: DataFrame, top_k: int = fv.TOP_K, enable_rerank: bool = False) -> DataFrame:
     """Search, optional re-ranking and answers for a batch of questions."""
-    hits = rt.hybrid_search(queries, vectors, top_k)
+    hits = rt.hybrid_search(queries, vectors, top_k, documents=documents)
     if enable_rerank:
         hits = rt.rerank(queries, hits, top_k)
     return compose_answers(queries, attach(hits, queries, documents))

@@ -241,28 +241,40 @@ HIT_COLUMNS = ["query_id", "rank", "chunk_id", "document_id", "page_number", "ch
                "bm25_score", "vector_score", "final_score"]
 
 
-def candidates(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Vector candidates by scope: one document before ranking, several after, none unrestricted."""
+def candidates(queries: DataFrame, vectors: DataFrame, k: int, documents: DataFrame | None = None) -> DataFrame:
+    """Vector candidates by scope: one document before ranking, several after.
+
+    A question that names no document is asked of its owner's processed documents: the best of all
+    are kept where they are in one of those.  Without ``documents`` or without ``owner_id`` in ``queries``
+    such a question is unrestricted.
+    """
     one = F.coalesce(F.size("document_ids") == 1, F.lit(False))
     narrow = queries.filter(one).select("query_id", "embedding", F.get("document_ids", F.lit(0)).alias("document_id"))
     wide = queries.filter(~one)
     meta = vectors.drop("embedding")
     scoped = vector_topk_prefilter(narrow, vectors, k).join(meta, "chunk_id")
-    ranked = vector_topk(wide, vectors, k).join(meta, "chunk_id").join(wide.select("query_id", "document_ids"), "query_id")
+    owners = documents is not None and "owner_id" in queries.columns
+    asker = ["owner_id"] if owners else []
+    ranked = vector_topk(wide, vectors, k).join(meta, "chunk_id").join(wide.select("query_id", "document_ids", *asker), "query_id")
     several = F.coalesce(F.size("document_ids") > 1, F.lit(False))
-    kept = ranked.filter(~several | F.array_contains("document_ids", F.col("document_id"))).drop("document_ids")
-    return scoped.unionByName(kept)
+    if owners:
+        own = documents.filter(F.col("status") == "processed").select(F.col("id").alias("document_id"), "owner_id").withColumn("_own", F.lit(True))
+        ranked = ranked.join(own, ["document_id", "owner_id"], "left")
+        allowed = F.when(several, F.array_contains("document_ids", F.col("document_id"))).otherwise(F.coalesce("_own", F.lit(False)))
+    else:
+        allowed = ~several | F.array_contains("document_ids", F.col("document_id"))
+    return scoped.unionByName(ranked.filter(allowed).drop("document_ids", "owner_id", "_own"))
 
 
 def hybrid_search(queries: DataFrame, vectors: DataFrame, top_k: int = fv.TOP_K, bm25_weight: float = fv.BM25_WEIGHT,
-                  vector_weight: float = fv.VECTOR_WEIGHT, over_fetch: int = 3) -> DataFrame:
+                  vector_weight: float = fv.VECTOR_WEIGHT, over_fetch: int = 3, documents: DataFrame | None = None) -> DataFrame:
     """Vector candidates re-scored by BM25 among themselves; both min-max scaled, weighted, cut to k.
 
     queries: query_id, query, embedding, document_ids; vectors: chunk_id, document_id,
     content, embedding and any page columns.  Once the few candidates of a query are
     together (one exchange on query_id) every later step works on that partitioning.
     """
-    found = candidates(queries, vectors, top_k * over_fetch)
+    found = candidates(queries, vectors, top_k * over_fetch, documents)
     asked = queries.select("query_id", term_counts(tx.lower_words(F.col("query"))).alias("asked"))
     return fuse(candidate_bm25(found.join(asked, "query_id")), top_k, bm25_weight, vector_weight)
 
@@ -333,7 +345,12 @@ def search_content(requests: DataFrame, chunks: DataFrame, documents: DataFrame,
 
 
 def highlight(requests: DataFrame, vectors: DataFrame, documents: DataFrame, top_k: int = 10) -> DataFrame:
-    """Best sentence of each of the ten best chunks of one document, optionally on one page."""
+    """Best sentence of each of the ten best chunks of one document, optionally on one page.
+
+    With ``owner_id`` in ``requests`` a document of somebody else gives nothing.
+    """
+    if "owner_id" in requests.columns:
+        requests = requests.join(documents.select(F.col("id").alias("document_id"), "owner_id"), ["document_id", "owner_id"], "left_semi").drop("owner_id")
     asked = requests.withColumn("document_ids", F.array("document_id"))
     hits = hybrid_search(asked, vectors, top_k)
     joined = hits.join(requests.select("query_id", "query", F.col("page_number").alias("only_page")), "query_id").filter(
@@ -364,7 +381,7 @@ def related_content(requests: DataFrame, vectors: DataFrame, documents: DataFram
                     embedder: Callable[[Column], Column] | None = None) -> DataFrame:
     """Further hits that neither contain the given answer nor are contained in it."""
     widened = embed_texts(related_queries(requests).drop("embedding"), "query", embedder)
-    hits = hybrid_search(widened, vectors, top_k + 5).join(requests.select("query_id", "answer_text"), "query_id")
+    hits = hybrid_search(widened, vectors, top_k + 5, documents=documents).join(requests.select("query_id", "answer_text"), "query_id")
     answer, content = F.lower(F.coalesce("answer_text", F.lit(""))), F.lower("content")
     fresh = hits.filter((answer == "") | ~(F.contains(answer, content) | F.contains(content, answer)))
     kept = rank_rows(fresh.withColumnRenamed("rank", "hit_rank"), "final_score", "rank", top_k, "hit_rank")

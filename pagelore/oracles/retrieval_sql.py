@@ -33,20 +33,20 @@ add_hybrid("tab5", "table_questions", "table_vectors", 5, ("table_questions", "t
 
 C.add("high_q", """
 SELECT query_id, query, embedding, [query_id * 3] AS document_ids, query_id * 3 AS wanted, CASE WHEN query_id % 2 = 0 THEN 1 END AS only_page
-FROM questions_v""", "questions_v")
+FROM questions_v q JOIN docs_v d ON d.id = q.query_id * 3 WHERE query_id % 4 <> 3 OR 19 - d.owner_id = d.owner_id""", "questions_v", "docs_v")
 add_hybrid("high", "high_q", "chunk_vectors_v", 10, ("high_q", "chunk_vectors_v"))
 _ov = dk.overlap_size(dk.word_set("query"), dk.word_set("s"))
 
 C.add("rel_base", """
-SELECT q.query_id, q.query, q.document_ids, h.content AS answer_text
+SELECT q.query_id, q.query, q.document_ids, q.owner_id, h.content AS answer_text
 FROM questions_v q LEFT JOIN hits_v h ON h.query_id = q.query_id AND h.rank = 1""", "questions_v", "hits_v")
 _extra = ("list_sort(" + dk.tfilter(dk.word_set("coalesce(answer_text, '')"),
           lambda w: f"NOT list_contains({dk.strlist(fv.RELATED_STOP)}, {w}) AND length({w}) > 3") + ")[1:8]")
 C.add("rel_wide", f"""
-SELECT query_id, document_ids, answer_text, CASE WHEN len(extra) > 0 THEN query || ' ' || array_to_string(extra, ' ') ELSE query END AS query
+SELECT query_id, document_ids, owner_id, answer_text, CASE WHEN len(extra) > 0 THEN query || ' ' || array_to_string(extra, ' ') ELSE query END AS query
 FROM (SELECT *, {_extra} AS extra FROM rel_base)""", "rel_base")
-C.add("rel_q", f"SELECT query_id, query, document_ids, {embedding('query')} AS embedding FROM rel_wide", "rel_wide")
-add_hybrid("rel", "rel_q", "chunk_vectors_v", 10, ("rel_q", "chunk_vectors_v"))
+C.add("rel_q", f"SELECT query_id, query, document_ids, owner_id, {embedding('query')} AS embedding FROM rel_wide", "rel_wide")
+add_hybrid("rel", "rel_q", "chunk_vectors_v", 10, ("rel_q", "chunk_vectors_v"), True)
 _preview = dk.let(dk.split_sentences("content"), lambda s: f"CASE WHEN len({s}) > 0 THEN array_to_string({s}[1:3], ' ') ELSE substring(content, 1, 300) END")
 
 _emb = dk.tmap("embedding", lambda x: f"CAST(round({x}::DOUBLE, 4) AS VARCHAR)")

@@ -47,14 +47,21 @@ JOIN {prefix}_idf i USING (corpus_id, term) JOIN {prefix}_tf t USING (corpus_id,
           f"{prefix}_idf", f"{prefix}_tf", *needs)
 
 
-def add_hybrid(prefix: str, queries: str, vectors: str, k: int, needs: tuple[str, ...]) -> None:
-    """<prefix>_hits: fused ranking of queries(query_id, query, embedding, document_ids) over vectors."""
+def add_hybrid(prefix: str, queries: str, vectors: str, k: int, needs: tuple[str, ...], owners: bool = False) -> None:
+    """<prefix>_hits: fused ranking of queries(query_id, query, embedding, document_ids) over vectors.
+
+    ``owners``: a question without documents is asked of the processed documents of its owner_id.
+    """
+    owned = "EXISTS (FROM docs_v d WHERE d.id = document_id AND d.owner_id = asker AND d.status = 'processed')" if owners else "true"
+    asker = "q.owner_id AS asker, " if owners else ""
+    if owners:
+        needs = (*needs, "docs_v")
     C.add(f"{prefix}_cand", f"""
 SELECT * FROM (
-  SELECT q.query_id, q.document_ids, v.* EXCLUDE (embedding), {cosine('q.embedding', 'v.embedding')} AS vscore,
+  SELECT q.query_id, q.document_ids, {asker}v.* EXCLUDE (embedding), {cosine('q.embedding', 'v.embedding')} AS vscore,
          row_number() OVER (PARTITION BY query_id ORDER BY {cosine('q.embedding', 'v.embedding')} DESC, chunk_id) AS vrank
   FROM {queries} q JOIN {vectors} v ON q.document_ids IS NULL OR len(q.document_ids) <> 1 OR v.document_id = q.document_ids[1])
-WHERE vrank <= {3 * k} AND (document_ids IS NULL OR len(document_ids) <= 1 OR list_contains(document_ids, document_id))""", *needs)
+WHERE vrank <= {3 * k} AND CASE WHEN document_ids IS NULL OR len(document_ids) = 0 THEN {owned} ELSE len(document_ids) = 1 OR list_contains(document_ids, document_id) END""", *needs)
     C.add(f"{prefix}_cd", f"SELECT query_id AS corpus_id, chunk_id, content FROM {prefix}_cand", f"{prefix}_cand")
     C.add(f"{prefix}_cq", f"SELECT query_id, query_id AS corpus_id, query FROM {queries}", *needs)
     add_bm25(prefix, f"{prefix}_cq", f"{prefix}_cd", (f"{prefix}_cq", f"{prefix}_cd"))
@@ -72,8 +79,8 @@ C.add("chunk_vectors_v", f"SELECT *, {embedding('content')} AS embedding FROM ch
 C.add("questions_v", f"""
 SELECT query_id, query, ['student', 'teacher', 'researcher', 'admin'][query_id % 4 + 1] AS role,
        CASE query_id % 3 WHEN 1 THEN [query_id] WHEN 2 THEN list_transform(range(0, 50), lambda i: i * 2 + query_id % 2) END AS document_ids,
-       {embedding('query')} AS embedding FROM queries_v""", "queries_v")
-add_hybrid("rag", "questions_v", "chunk_vectors_v", 5, ("questions_v", "chunk_vectors_v"))
+       query_id % 20 AS owner_id, {embedding('query')} AS embedding FROM queries_v""", "queries_v")
+add_hybrid("rag", "questions_v", "chunk_vectors_v", 5, ("questions_v", "chunk_vectors_v"), True)
 C.add("hits_v", """
 SELECT h.*, q.query, q.role, coalesce(d.original_name, 'Document ' || h.document_id) AS filename
 FROM rag_hits h JOIN questions_v q USING (query_id) LEFT JOIN docs_v d ON d.id = h.document_id""",

@@ -48,13 +48,13 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
                         (F.col("query_id") % 4 + 1).cast("int"))
     many = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long")), lambda i: i * 2 + F.col("query_id") % 2)
     ids = F.when(F.col("query_id") % 3 == 1, F.array("query_id")).when(F.col("query_id") % 3 == 2, many)
-    asked = fx.text_queries(spark, d).select("query_id", "query", role.alias("role"), ids.alias("document_ids"))
+    asked = fx.text_queries(spark, d).select("query_id", "query", role.alias("role"), ids.alias("document_ids"), (F.col("query_id") % 20).alias("owner_id"))
     return keep(spark, d, "questions", lambda: rt.embed_texts(asked, "query"))
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
     def build() -> DataFrame:
-        q = questions(spark, d)
-        return an.attach(rt.hybrid_search(q, chunk_vectors(spark, d)), q, fx.documents(spark, d))
+        q, docs = questions(spark, d), fx.documents(spark, d)
+        return an.attach(rt.hybrid_search(q, chunk_vectors(spark, d), documents=docs), q, docs)
 
     return keep(spark, d, "hits", build)
