@@ -151,6 +151,9 @@ SELECT request_id, username, email, role FROM (
                               f"CASE WHEN {_sure} THEN '> Confidence: ' || {_pct} || {NL} || {NL} ELSE '' END || '---' || {NL} || {NL} END"), "recent_v"),
     "export_txt": C.sql(export(f"Assistant Chat Export - {EXPORTED_AT}\n{'=' * 50}\n\n",
                                f"CASE WHEN role = 'user' THEN 'You' ELSE 'Assistant' END || ': ' || content || {NL} || {NL}"), "recent_v"),
+    "export_json": C.sql(f"""
+SELECT session_id, '{EXPORTED_AT}' AS exported_at, 'Assistant' AS service, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS position,
+       id, role, content, confidence FROM recent_v""", "recent_v"),
     "export_html": C.sql(export(
         f'<!DOCTYPE html>\n<html><head><meta charset="UTF-8"><title>Assistant Chat Export</title>\n<style>\n{HTML_STYLE}</style></head><body>\n'
         f'<h1>Assistant Chat Export</h1><p style="color:#6b7280">Exported: {EXPORTED_AT}</p><hr>\n',

@@ -157,6 +157,15 @@ def export(fmt: str):
     return lambda s, d: mt.export_messages(fx.messages(s, d), fmt, EXPORTED_AT)
 
 
+def q_export_json(spark: SparkSession, d: str) -> DataFrame:
+    """The exported texts parsed back, a row per message."""
+    texts = mt.export_messages(fx.messages(spark, d), "json", EXPORTED_AT)
+    layout = "exported_at string, service string, messages array<struct<id:bigint,role:string,content:string,confidence:double>>"
+    parsed = texts.select("session_id", F.from_json("content", layout).alias("j"))
+    return parsed.select("session_id", "j.exported_at", "j.service", F.posexplode("j.messages").alias("pos", "m")).select(
+        "session_id", "exported_at", "service", (F.col("pos") + 1).cast("long").alias("position"), "m.id", "m.role", "m.content", "m.confidence")
+
+
 def q_processed(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "processed")
     files.write_processed(pages_plan.merged_digital(spark, d), fx.documents(spark, d), folder, EXPORTED_AT)
@@ -237,6 +246,6 @@ QUERIES = {
     "register_users": q_register_users,
     "export_md": export("md"),
     "export_txt": export("txt"),
-    "export_json": export("json"),
+    "export_json": q_export_json,
     "export_html": export("html"),
 }
