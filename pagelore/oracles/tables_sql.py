@@ -89,7 +89,8 @@ def export(head: str, part: str, tail: str = "") -> str:
     return (f"SELECT session_id, {dk.q(head)} || string_agg({part}, '' ORDER BY created_at, id) || {dk.q(tail)} AS content FROM recent_v GROUP BY 1")
 
 
-_VEC_COLUMNS = "chunk_id, document_id, page_number, chunk_index, source_type, content, char_count, 256::BIGINT AS dim"
+_VEC_COLUMNS = "chunk_id, document_id, page_number, chunk_index, source_type, content, char_count, " + (
+    "array_to_string(" + dk.tmap("embedding", lambda x: f"CAST(round({x}::DOUBLE, 4) AS VARCHAR)") + ", ',') AS embedding")
 SQL = {
     "validate_uploads": C.sql("SELECT upload_id, original_name, reject_reason FROM checked_v", "checked_v"),
     "safe_filename": f"SELECT page_id AS document_id, {safe('url')} AS name FROM pages",
@@ -113,7 +114,7 @@ UNION ALL SELECT 'annotations', count(*) FROM annotations_v UNION ALL SELECT 'st
 SELECT vec_id AS chunk_id, label::BIGINT AS document_id,
   array_to_string(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ',') AS millionths FROM embeddings""",
     "write_chunks": C.sql("SELECT * FROM chunks_v", "chunks_v"),
-    "write_vectors": C.sql(f"SELECT {_VEC_COLUMNS} FROM chunks_v", "chunks_v"),
+    "write_vectors": C.sql(f"SELECT {_VEC_COLUMNS} FROM chunk_vectors_v", "chunk_vectors_v"),
     "delete_document_cascade": C.sql(after_delete("SELECT id FROM docs_v WHERE status = 'failed'"), *_NEEDS),
     "delete_user_cascade": C.sql(after_delete("SELECT d.id FROM docs_v d JOIN users_v u ON u.id = d.owner_id WHERE NOT u.is_active")
                                  + " UNION ALL SELECT 'users', count(*), count(*) FROM users_v WHERE is_active", *_NEEDS),

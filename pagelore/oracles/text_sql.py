@@ -239,7 +239,7 @@ SQL = {
     "language_name": over_text(dk.language_name("lang"), "language"),
     "key_terms": over_text(dk.key_terms("text", 4), "terms"),
     "card_terms": over_text(dk.key_terms("text", 4, True), "terms"),
-    "clean_subject": over_text(dk.clean_subject(f"{dk.loose_sentences('text')}[1]"), "subject"),
+    "clean_subject": over_text(f"array_to_string({dk.tmap(dk.loose_sentences('text'), dk.clean_subject)}, ' | ')", "subjects"),
     "snippet": over_text(dk.let(_third, lambda n: dk.snippet("text", n)), "snippet"),
     "simple_overlap": C.sql(f"SELECT id, {dk.simple_overlap('query', 'answer')} AS overlap FROM bookmarks_v", "bookmarks_v"),
     "cache_key": C.sql("SELECT query_id, md5(query || CASE WHEN query_id % 4 <> 0 THEN '|[' || array_to_string(list_sort([query_id * 3 % 10, query_id % 10, query_id * 7 % 10]), ', ') || ']' "

@@ -190,8 +190,8 @@ def q_write_vectors(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "vectors")
     in_batches(sh.chunk_vectors(spark, d), folder, files.write_vectors)
     v = files.read_vectors(spark, folder)
-    return v.select("chunk_id", "document_id", "page_number", "chunk_index", "source_type", "content", "char_count",
-                    F.size("embedding").cast("long").alias("dim"))
+    values = F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("string")), ",")
+    return v.select("chunk_id", "document_id", "page_number", "chunk_index", "source_type", "content", "char_count", values.alias("embedding"))
 
 
 def q_read_vectors(spark: SparkSession, d: str) -> DataFrame:

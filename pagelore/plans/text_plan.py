@@ -88,7 +88,7 @@ QUERIES = {
     "language_name": lambda s, d: fx.table(s, d, "documents").select("doc_id", tx.language_name(F.col("lang")).alias("language")),
     "key_terms": _lazy(lambda c: tx.key_terms(c, 4), "terms"),
     "card_terms": _lazy(lambda c: tx.key_terms(c, 4, skip_parentheses=True), "terms"),
-    "clean_subject": _lazy(lambda c: tx.clean_subject(F.get(tx.loose_sentences(c), F.lit(0))), "subject"),
+    "clean_subject": _lazy(lambda c: F.array_join(F.transform(tx.loose_sentences(c), tx.clean_subject), " | "), "subjects"),
     "snippet": q_snippet,
     "simple_overlap": q_simple_overlap,
     "cache_key": q_cache_key,
