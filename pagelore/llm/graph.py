@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelore.llm.common import cut
 
 MAX_ROUNDS = 60
+#: Members of a key's largest group that those outside it meet before they meet all.
+LEADERS = 8
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -40,11 +42,11 @@ def linked_groups(postings: DataFrame, nodes: DataFrame, passes: Callable[[Calla
 
     ``postings``: ``key``, ``id``; ``nodes``: one row per id with what the test reads and ``weight``.  Pairs are
     never listed within a key.  First each member meets the key's most shared, weightiest member; a large
-    group of copies is joined by that alone.  Then only members outside the key's largest group so far
-    meet the others, so every candidate pair is either verified or already in one group.
+    group of copies is joined by that alone, or by a few more leaders of the largest group so far.  Then only
+    members outside that group meet the others, so every candidate pair is verified or already in one group.
     """
-    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = cut(postings.join(shared, "key").select("key", "id", "n"))
+    # one exchange of the postings: the count of a key comes from a window over it
+    members = cut(postings.select("key", "id", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n")).filter("n > 1"))
     popular = members.groupBy("id").agg(F.sum("n").alias("popularity")).join(nodes, "id")
     rank = F.struct("weight", "popularity", "id")
     attributes = [c for c in nodes.columns if c != "id"]
@@ -57,13 +59,26 @@ def linked_groups(postings: DataFrame, nodes: DataFrame, passes: Callable[[Calla
     tested = cut(led.filter(passes(lambda c: F.col(f"_a.{c}"), lambda c: F.col(f"_b.{c}"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     first = cut(verify(tested))
 
-    roots = components(first)
-    placed = cut(rows.join(roots, "id", "left").withColumn("group", F.coalesce("root", "id")).select("key", "id", "group", *attributes))
-    sizes = placed.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
-    open_ = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "group")).alias("top")).filter("groups > 1").select("key", F.col("top.group").alias("main"))
-    rest = placed.join(open_, "key")
-    x, y = rest.filter("group <> main").alias("x"), rest.alias("y")
+    def outside(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of the keys that hold more than one group, with the largest (``main``); those outside it."""
+        placed = cut(rows.join(components(links), "id", "left").withColumn("group", F.coalesce("root", "id")).select("key", "id", "group", "rank", *attributes))
+        sizes = placed.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
+        open_ = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "group")).alias("top")).filter("groups > 1").select("key", F.col("top.group").alias("main"))
+        rest = cut(placed.join(open_, "key"))
+        return rest, rest.filter("group <> main")
+
+    def meet(x: DataFrame, y: DataFrame, when: Column) -> DataFrame:
+        x, y = x.alias("x"), y.alias("y")
+        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") != F.col("y.group")) & when & passes(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+        return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+    rest, others = outside(first)
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("rank")))
+    few = rest.filter("group = main").withColumn("place", place).filter(F.col("place") <= LEADERS)
+    more = cut(meet(others, few, F.lit(True)).join(tested, ["a", "b"], "left_anti"))
+    second = cut(first.unionByName(verify(more)))
+
+    rest, others = outside(second)
     once = (F.col("y.group") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") != F.col("y.group")) & once & passes(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
-    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    return components(first.unionByName(verify(cut(pairs))))
+    pairs = meet(others, rest, once).join(tested.unionByName(more), ["a", "b"], "left_anti")
+    return components(second.unionByName(verify(cut(pairs))))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import n_words, replace, table
+from pagelore.llm.common import cut, n_words, replace, table
 
 #: Weights of the sources by rank of their name, repeating; null ranks last.
 CYCLE = (1, 2, 3)
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: str = SEED, cycle=C
         "_group": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")),
     }).withColumn("_bin", F.floor(F.log("_key") * BINS))
 
-    bins = base.groupBy("_group", "_bin").agg(F.sum("_size").alias("_in_bin"), F.first("source").alias("source"))
+    bins = cut(base.groupBy("_group", "_bin").agg(F.sum("_size").alias("_in_bin"), F.first("source").alias("source")))
     sizes = bins.groupBy("_group").agg(F.first("source").alias("source"), F.sum("_in_bin").alias("source_size"))
     goal = targets(sizes, cycle, max_epochs).withColumn("_group", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))).drop("source")
     earlier = Window.partitionBy("_group").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
