@@ -71,3 +71,22 @@ def test_prefilter_and_postfilter_differ(spark):
     before = [r.chunk_id for r in rt.vector_topk_prefilter(q, v, 1).collect()]
     after = [r.chunk_id for r in rt.vector_topk_postfilter(q.drop("document_id"), v, 1, q).collect()]
     assert before == [2] and after == []
+
+
+def test_questions_without_documents_stay_with_their_owner(spark):
+    vectors = spark.createDataFrame(
+        [(f"c{d}", d, f"text {d}", [1.0, d / 10]) for d in range(6)], "chunk_id string, document_id long, content string, embedding array<float>")
+    documents = spark.createDataFrame(
+        [(d, d % 2, "processing" if d == 4 else "processed", f"d{d}") for d in range(6)], "id long, owner_id long, status string, original_name string")
+    asked = spark.createDataFrame(
+        [(1, "text", [1.0, 0.0], None, 0), (2, "text", [1.0, 0.0], None, 1), (3, "text", [1.0, 0.0], [1, 4], 0), (4, "text", [1.0, 0.0], None, 9)],
+        "query_id long, query string, embedding array<float>, document_ids array<long>, owner_id long")
+    found = {}
+    for r in rt.candidates(asked, vectors, 6, documents).collect():
+        found.setdefault(r.query_id, set()).add(r.document_id)
+    assert found == {1: {0, 2}, 2: {1, 3, 5}, 3: {1, 4}}
+
+    lit = spark.createDataFrame([(1, "text", [1.0, 0.0], 2, None, 0), (2, "text", [1.0, 0.0], 2, None, 1)],
+                                "query_id long, query string, embedding array<float>, document_id long, page_number long, owner_id long")
+    pages = vectors.selectExpr("*", "1L AS page_number", "0L AS chunk_index", "'digital' AS source_type")
+    assert {r.query_id for r in rt.highlight(lit, pages, documents).collect()} == {1}
