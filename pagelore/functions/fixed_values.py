@@ -201,10 +201,8 @@ MSG_AI_REASON = "Answer generated directly by AI without strict PDF grounding."
 MSG_HIGH = "This answer is well-supported by your documents."
 MSG_MEDIUM = "Consider verifying this answer with additional sources."
 MSG_LOW = "This answer has limited support. Upload more relevant documents or rephrase your question."
-MSG_CLAIM_NOTE = "AI fact-checker unavailable. Manual verification recommended."
 
 ROLES = ("student", "teacher", "researcher", "admin")
-STATUSES = ("uploaded", "processing", "processed", "failed")
 PRIORITIES = ("low", "medium", "high")
 TASK_STATUSES = ("todo", "in_progress", "done")
 
@@ -279,3 +277,12 @@ CARD_RULES = (
      (_verbs("is", "are", "was", "exists?", "works?"),), 4, "Why is {} important?", 2),
     (9, None, (_verbs("is", "are", "was", "were", "has", "have", "can", "will", "provides?"),), None, "Explain: {}", 2),
 )
+
+# --- exports: style sheet of the HTML form ---------------------------------------
+HTML_STYLE = (
+    "body { font-family: system-ui; max-width: 800px; margin: 40px auto; padding: 0 20px; background: #f9fafb; }\n"
+    ".msg { margin: 16px 0; padding: 16px; border-radius: 12px; }\n"
+    ".user { background: #4f46e5; color: white; margin-left: 60px; }\n"
+    ".assistant { background: white; border: 1px solid #e5e7eb; margin-right: 60px; }\n"
+    "h1 { color: #1f2937; } .meta { color: #9ca3af; font-size: 12px; margin-top: 8px; }\n"
+)

@@ -184,13 +184,7 @@ def register_documents(uploads: DataFrame, existing_max: DataFrame) -> DataFrame
 
 
 # --- exports -------------------------------------------------------------------
-HTML_STYLE = (
-    "body { font-family: system-ui; max-width: 800px; margin: 40px auto; padding: 0 20px; background: #f9fafb; }\n"
-    ".msg { margin: 16px 0; padding: 16px; border-radius: 12px; }\n"
-    ".user { background: #4f46e5; color: white; margin-left: 60px; }\n"
-    ".assistant { background: white; border: 1px solid #e5e7eb; margin-right: 60px; }\n"
-    "h1 { color: #1f2937; } .meta { color: #9ca3af; font-size: 12px; margin-top: 8px; }\n"
-)
+HTML_STYLE = fv.HTML_STYLE
 
 
 def _percent(c: Column) -> Column:
