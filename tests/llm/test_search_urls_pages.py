@@ -88,6 +88,15 @@ def test_article_text(spark):
     assert wrapper.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_template_keeps_what_parts_words(spark):
+    body = "<article><p>one{i}<br>two{i} <b>a{i}</b> <i>b{i}</i></p><p><a>x{i}</a>, <a>y{i}</a></p><p>Share this page</p><div>in{i}<div>Share me</div>out{i}</div></article>"
+    for n in (2, 10):  # the blanks are the same whatever the size of the host
+        data = [(i, f"http://h.com/{i}", PAGE.format(i=i, body=body.format(i=i))) for i in range(n)]
+        got = {r.page_id: r.text for r in wrapper.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+        blocks = [b for b in got[1].split("\n\n") if not b.startswith("Share")]
+        assert blocks == ["one1 two1 a1 b1", "x1, y1", "in1", "out1"]
+
+
 def test_region_without_article_element(spark):
     body = "<div class='wrap'><div class='links'><a href='/'>Home</a></div><div class='text'><p>Story {i} tells of {i} things</p><p>More {i} and {i}</p></div></div>"
     data = [(i, f"http://h.com/{i}", PAGE.format(i=i, body=body.format(i=i))) for i in range(10)]
