@@ -53,10 +53,9 @@ def append_turns(answered: DataFrame, sessions: DataFrame) -> tuple[DataFrame, D
 
     answered: query_id, user_id, session_id (nullable), query, answer, confidence.
     """
-    start = sessions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_id"))
+    last = sessions.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     homeless = answered.filter(F.col("session_id").isNull())
-    opened = number_rows(homeless, "query_id", "n").withColumn("one", F.lit(1)).join(
-        start.withColumn("one", F.lit(1)), "one").withColumn("session_id", F.col("last_id") + F.col("n"))
+    opened = number_rows(homeless, "query_id", "n").withColumn("session_id", last + F.col("n"))
     new_sessions = opened.select(F.col("session_id").alias("id"), "user_id", F.substring("query", 1, 100).alias("title"))
     placed = answered.filter(F.col("session_id").isNotNull()).unionByName(opened.select(*answered.columns))
     empty = F.lit(None).cast("double")

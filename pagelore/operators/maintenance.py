@@ -177,9 +177,8 @@ def find_duplicates(documents: DataFrame) -> DataFrame:
 
 def register_documents(uploads: DataFrame, existing_max: DataFrame) -> DataFrame:
     """Document rows for accepted uploads; ids continue after the largest stored one."""
-    numbered = number_rows(uploads, "upload_id", "n").withColumn("one", F.lit(1)).join(existing_max.withColumn("one", F.lit(1)), "one")
-    return numbered.select(
-        (F.col("max_id") + F.col("n")).alias("id"), "filename", "original_name", "file_size", "file_hash",
+    return number_rows(uploads, "upload_id", "n").select(
+        (existing_max.select("max_id").scalar() + F.col("n")).alias("id"), "filename", "original_name", "file_size", "file_hash",
         F.lit("uploaded").alias("status"), "owner_id")
 
 

@@ -7,9 +7,13 @@ with one row per segment.  Keys with a single segment add nothing to that table.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelore.session import ensure_checkpoint_dir
+
 
 def segment_offsets(df: DataFrame, keys: list[str], segment: str, order: str, value: str, out: str,
                     wide_rows: DataFrame | None = None) -> DataFrame:
@@ -34,15 +38,22 @@ def wide_keys(df: DataFrame, keys: list[str], segment: str) -> DataFrame:
     return df.filter(F.col(segment) > 0).select(*keys).distinct()
 
 
-def number_rows(df: DataFrame, order: str, out: str, segment_rows: int = 1_000_000) -> DataFrame:
-    """1.. over the whole frame by an integer key, without one task seeing all rows.
+def number_rows(df: DataFrame, order: str | list[str], out: str) -> DataFrame:
+    """1.. over the whole frame in the order of the columns ``order`` (nulls first), as ``out``.
 
-    Key ranges are the segments; only one row per range passes through the global sum.
+    The rows are dealt out by range, sorted and written to the checkpoint folder, so that a row keeps its
+    place.  Its number is that place plus the rows of the partitions before; the sizes of the
+    partitions (one row each, whatever the values are) are all that meets in one place.  Rows
+    equal in ``order`` are numbered one after the other in no stated order; a hot value that must be
+    split over tasks needs a further column.
     """
-    ranged = df.withColumn("_segment", F.floor(F.col(order) / segment_rows))
-    inside = Window.partitionBy("_segment").orderBy(order)
-    counts = ranged.groupBy("_segment").agg(F.count(F.lit(1)).alias("_n"))
-    shifts = counts.select("_segment", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
-    local = ranged.withColumn("_local", F.row_number().over(inside))
-    return local.join(shifts, "_segment").withColumn(out, F.col("_local") + F.col("_shift")).drop("_segment", "_local", "_shift")
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    keys = [F.asc_nulls_first(c) for c in ([order] if isinstance(order, str) else order)]
+    place = F.monotonically_increasing_id()
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns(
+        {"_part": F.shiftright(place, 33), "_place": place.bitwiseAND(F.lit((1 << 33) - 1))}).checkpoint()
+    sizes = sorted(tuple(r) for r in placed.groupBy("_part").agg(F.count(F.lit(1))).collect())
+    before = accumulate([n for _, n in sizes], initial=0)
+    shifts = spark.createDataFrame([(part, shift) for (part, _), shift in zip(sizes, before)], "_part long, _shift long")
+    return placed.join(F.broadcast(shifts), "_part").withColumn(out, F.col("_place") + F.col("_shift") + 1).drop("_part", "_place", "_shift")

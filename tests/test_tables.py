@@ -74,10 +74,19 @@ def test_bleu_and_rouge_by_hand(spark):
 
 def test_numbering_over_ranges(spark):
     df = spark.range(0, 2500, 7).withColumnRenamed("id", "k")
-    got = number_rows(df, "k", "n", segment_rows=100).orderBy("k").collect()
+    got = number_rows(df, "k", "n").orderBy("k").collect()
     assert [r.n for r in got] == list(range(1, len(got) + 1))
 
 
+def test_numbering_of_sparse_and_null_ids(spark):
+    ids = [None, None, *(i * (1 << 62) // 500 for i in range(500)), -5]
+    got = number_rows(spark.createDataFrame([(i,) for i in ids], "k long"), "k", "n").orderBy(F.asc_nulls_first("k")).collect()
+    assert [r.n for r in got] == list(range(1, len(ids) + 1))
+    assert number_rows(spark.createDataFrame([], "k long"), "k", "n").count() == 0
+    plan = number_rows(spark.range(9), "id", "n")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+
+
 def test_export_markdown(spark):
     rows = [(1, 1, "user", "Hi", None, 1), (1, 2, "assistant", "Hello", 0.5, 2)]
     df = spark.createDataFrame(rows, "session_id long, id long, role string, content string, confidence double, created_at long")
