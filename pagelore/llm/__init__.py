@@ -11,7 +11,7 @@ from importlib import import_module
 from pagelore.session import ship_package, tune
 
 MODULES = ("mixing", "perplexity", "url_rules", "topk", "wrapper", "shuffling", "packing", "order_minhash", "toxicity",
-           "fuzzy_lines")
+           "fuzzy_lines", "language_cnn", "merkle", "conversations")
 
 
 def _ready(run):

@@ -35,3 +35,11 @@ def own(df: DataFrame, *names: str) -> DataFrame:
 def replace(df: DataFrame, outputs: dict[str, Column]) -> DataFrame:
     """``df`` with the outputs appended; an input column of an output's name gives way to it."""
     return df.select(*[F.col(c) for c in df.columns if c not in outputs], *[c.alias(n) for n, c in outputs.items()])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores ahead until no column of ``df`` is called so in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
