@@ -231,9 +231,10 @@ def compose_answers(queries: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def rag_query(queries: DataFrame, vectors: DataFrame, documents: DataFrame, top_k: int = fv.TOP_K, enable_rerank: bool = False) -> DataFrame:
+def rag_query(queries: DataFrame, vectors: DataFrame, documents: DataFrame, top_k: int = fv.TOP_K, enable_rerank: bool = False,
+              blocks: str | None = None, one_document: bool = False) -> DataFrame:
     """Search, optional re-ranking and answers for a batch of questions."""
-    hits = rt.hybrid_search(queries, vectors, top_k, documents=documents)
+    hits = rt.hybrid_search(queries, vectors, top_k, documents=documents, blocks=blocks, one_document=one_document)
     if enable_rerank:
         hits = rt.rerank(queries, hits, top_k)
     return compose_answers(queries, attach(hits, queries, documents))
@@ -247,7 +248,7 @@ def compare_documents_answers(requests: DataFrame, vectors: DataFrame, documents
     keyed = asked.select(pair.alias("query_id"), "query", "role", "embedding", F.array("document_id").alias("document_ids"))
     names = documents.select(F.col("id").alias("document_id"), "original_name")
     parts = F.split("query_id", ":")
-    answers = rag_query(keyed, vectors, documents).select(
+    answers = rag_query(keyed, vectors, documents, one_document=True).select(
         F.get(parts, F.lit(0)).cast("long").alias("query_id"), F.get(parts, F.lit(1)).cast("long").alias("document_id"),
         "query", "answer", "confidence", "sources")
     default = F.concat(F.lit("Document "), F.col("document_id").cast("string"))

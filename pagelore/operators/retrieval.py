@@ -1,4 +1,4 @@
-"""Embeddings, exact vector top-k, BM25, fused ranking and content search.
+"""Embeddings, BM25, fused ranking and content search; vector top-k is in ``vectors``, the corpus-wide BM25 index in ``bm25``.
 
 Ranks are made on scores rounded to six decimals with the chunk key as the last
 tie-break, so a ranking does not depend on the order in which sums were added.
@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from pagelore.functions import fixed_values as fv
 from pagelore.functions import text as tx
-from pagelore.session import BROADCAST_ROWS
+from pagelore.operators.vectors import rank_rows, vector_count, vector_topk, vector_topk_postfilter, vector_topk_prefilter  # noqa: F401
 
 EMBED_DIM = 256
-VECTORS_PER_CELL = 50_000
 CORPUS = "corpus_id"
 
 
@@ -46,133 +45,6 @@ def embed_texts(df: DataFrame, text: str, embedder: Callable[[Column], Column] |
     return df.withColumn("embedding", (embedder or hashed_embedding)(F.col(text)))
 
 
-# --- vector ranking ----------------------------------------------------------
-def _unit(matrix: list) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in matrix])
-    return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores; equal scores go by id."""
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.flatnonzero(scores >= floor)
-    else:
-        keep = np.arange(len(scores))
-    return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
-
-
-def _block_topk(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int,
-                exclude_self: bool) -> pd.DataFrame:
-    scores = np.round(queries @ vectors.T, 6)
-    parts = []
-    for row, query_id in enumerate(query_ids):
-        line = scores[row]
-        if exclude_self:
-            line = np.where(ids == query_id, -np.inf, line)
-        at = _best(ids, line, k)
-        at = at[np.isfinite(line[at])]
-        parts.append(pd.DataFrame({"query_id": query_id, "chunk_id": ids[at], "vector_score": line[at] + 0.0}))
-    return pd.concat(parts, ignore_index=True)
-
-
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = False,
-                max_queries: int = BROADCAST_ROWS) -> DataFrame:
-    """Exact cosine top-k of every query over all vectors.
-
-    A checked, bounded query batch is shipped to the tasks: one matrix product per
-    Arrow batch, and each task passes on at most k rows per query.  A larger batch
-    is cut into blocks that meet the blocks of the vectors cell by cell; no pair of
-    rows is ever materialised.
-    """
-    schema = f"query_id {_type(queries, 'query_id')}, chunk_id {_type(vectors, 'chunk_id')}, vector_score double"
-    q = queries.select("query_id", "embedding")
-    v = vectors.select("chunk_id", "embedding")
-    rows = q.limit(max_queries + 1).collect()
-    if not rows:
-        partial = queries.sparkSession.createDataFrame([], schema)
-    elif len(rows) <= max_queries:
-        shipped = queries.sparkSession.sparkContext.broadcast(
-            (np.array([r[0] for r in rows], dtype=object), _unit([r[1] for r in rows]))
-        )
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            query_ids, matrix = shipped.value
-            best: pd.DataFrame | None = None
-            for batch in batches:
-                if len(batch) == 0:
-                    continue
-                found = _block_topk(query_ids, matrix, batch["chunk_id"].to_numpy(), _unit(batch["embedding"]), k, exclude_self)
-                best = found if best is None else _cut(pd.concat([best, found], ignore_index=True), k)
-            if best is not None:
-                yield best
-
-        partial = v.mapInPandas(scan, schema)
-    else:
-        partial = _blocked_topk(q, v, k, exclude_self, max_queries, schema)
-    return rank_rows(partial, "vector_score", "vector_rank", k)
-
-
-def _type(df: DataFrame, name: str) -> str:
-    return df.schema[name].dataType.simpleString()
-
-
-def _cut(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = found.sort_values(["query_id", "vector_score", "chunk_id"], ascending=[True, False, True], kind="stable")
-    return ordered.groupby("query_id", sort=False).head(k)
-
-
-def _blocked_topk(q: DataFrame, v: DataFrame, k: int, exclude_self: bool, max_queries: int, schema: str) -> DataFrame:
-    q_blocks = -(-q.count() // max_queries)
-    v_blocks = max(1, -(-v.count() // VECTORS_PER_CELL))
-    cell = ["q_block", "v_block"]
-    left = q.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn(
-        "v_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))))
-    right = v.withColumn("v_block", F.pmod(F.xxhash64("chunk_id"), F.lit(v_blocks))).withColumn(
-        "q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"query_id": a["query_id"][:0].astype(object), "chunk_id": b["chunk_id"][:0].astype(object), "vector_score": np.empty(0)})
-        return _block_topk(a["query_id"].to_numpy(), _unit(a["embedding"]), b["chunk_id"].to_numpy(), _unit(b["embedding"]), k, exclude_self)
-
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(meet, schema)
-
-
-def rank_rows(df: DataFrame, score: str, rank: str, k: int, *ties: str) -> DataFrame:
-    """Number rows per query by falling score and keep k (cut before the shuffle by Spark)."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(score), *(ties or ("chunk_id",)))
-    return df.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    def dot(x: Column, y: Column) -> Column:
-        products = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
-        return F.aggregate(products, F.lit(0.0), lambda s, p: s + p)
-
-    return F.round(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), 6)
-
-
-def vector_topk_prefilter(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """Rank only the vectors of the query's own document (an equi-join on document_id)."""
-    v = vectors.select("chunk_id", "document_id", F.col("embedding").alias("v"))
-    pairs = queries.select("query_id", "document_id", F.col("embedding").alias("q")).join(v, "document_id")
-    if exclude_self:
-        pairs = pairs.filter(F.col("query_id") != F.col("chunk_id"))
-    scored = pairs.select("query_id", "chunk_id", cosine(F.col("q"), F.col("v")).alias("vector_score"))
-    return rank_rows(scored, "vector_score", "vector_rank", k)
-
-
-def vector_topk_postfilter(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame, exclude_self: bool = False) -> DataFrame:
-    """Rank over everything first, then keep hits whose document is allowed for the query."""
-    hits = vector_topk(queries, vectors, k, exclude_self).join(vectors.select("chunk_id", "document_id"), "chunk_id")
-    return hits.join(allowed.select("query_id", "document_id"), ["query_id", "document_id"], "left_semi")
-
-
-def vector_count(vectors: DataFrame) -> DataFrame:
-    return vectors.agg(F.count(F.lit(1)).alias("n_vectors"))
-
-
 # --- BM25 --------------------------------------------------------------------
 def term_counts(tokens: Column) -> Column:
     """Distinct terms of one text with their counts: run lengths of the sorted tokens."""
@@ -222,18 +94,14 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, key: str = "chunk_id", cont
     )
 
 
-def bm25_topk(scores: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
-    return rank_rows(scores, "bm25_score", "bm25_rank", k, key)
-
-
 def normalize_scores(scores: DataFrame, score: str, out: str) -> DataFrame:
-    """Min-max per query; equal scores become 1.  Extremes are aggregated, then joined back."""
-    ends = scores.groupBy("query_id").agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    return scores.join(ends, "query_id").withColumn(out, _scaled(score)).drop("_lo", "_hi")
+    """Min-max per query; equal scores become 1.  A query's rows are its few candidates, so they stay together."""
+    group = Window.partitionBy("query_id")
+    return scores.withColumn(out, _scaled(F.col(score), F.min(score).over(group), F.max(score).over(group)))
 
 
-def _scaled(score: str) -> Column:
-    return F.coalesce((F.col(score) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(1.0))
+def _scaled(score: Column, low: Column, high: Column) -> Column:
+    return F.coalesce((score - low) / F.nullif(high - low, F.lit(0.0)), F.lit(1.0))
 
 
 # --- fused search ------------------------------------------------------------
@@ -241,21 +109,24 @@ HIT_COLUMNS = ["query_id", "rank", "chunk_id", "document_id", "page_number", "ch
                "bm25_score", "vector_score", "final_score"]
 
 
-def candidates(queries: DataFrame, vectors: DataFrame, k: int, documents: DataFrame | None = None) -> DataFrame:
+def candidates(queries: DataFrame, vectors: DataFrame, k: int, documents: DataFrame | None = None, blocks: str | None = None,
+               one_document: bool = False) -> DataFrame:
     """Vector candidates by scope: one document before ranking, several after.
 
     A question that names no document is asked of its owner's processed documents: the best of all
     are kept where they are in one of those.  Without ``documents`` or without ``owner_id`` in ``queries``
-    such a question is unrestricted.
+    such a question is unrestricted.  ``blocks`` names stored vector blocks of ``vectors``; with ``one_document`` all questions name one.
     """
     one = F.coalesce(F.size("document_ids") == 1, F.lit(False))
     narrow = queries.filter(one).select("query_id", "embedding", F.get("document_ids", F.lit(0)).alias("document_id"))
     wide = queries.filter(~one)
     meta = vectors.drop("embedding")
     scoped = vector_topk_prefilter(narrow, vectors, k).join(meta, "chunk_id")
+    if one_document:
+        return scoped
     owners = documents is not None and "owner_id" in queries.columns
     asker = ["owner_id"] if owners else []
-    ranked = vector_topk(wide, vectors, k).join(meta, "chunk_id").join(wide.select("query_id", "document_ids", *asker), "query_id")
+    ranked = vector_topk(wide, vectors, k, folder=blocks).join(meta, "chunk_id").join(wide.select("query_id", "document_ids", *asker), "query_id")
     several = F.coalesce(F.size("document_ids") > 1, F.lit(False))
     if owners:
         own = documents.filter(F.col("status") == "processed").select(F.col("id").alias("document_id"), "owner_id").withColumn("_own", F.lit(True))
@@ -267,26 +138,27 @@ def candidates(queries: DataFrame, vectors: DataFrame, k: int, documents: DataFr
 
 
 def hybrid_search(queries: DataFrame, vectors: DataFrame, top_k: int = fv.TOP_K, bm25_weight: float = fv.BM25_WEIGHT,
-                  vector_weight: float = fv.VECTOR_WEIGHT, over_fetch: int = 3, documents: DataFrame | None = None) -> DataFrame:
+                  vector_weight: float = fv.VECTOR_WEIGHT, over_fetch: int = 3, documents: DataFrame | None = None,
+                  blocks: str | None = None, one_document: bool = False) -> DataFrame:
     """Vector candidates re-scored by BM25 among themselves; both min-max scaled, weighted, cut to k.
 
     queries: query_id, query, embedding, document_ids; vectors: chunk_id, document_id,
     content, embedding and any page columns.  Once the few candidates of a query are
     together (one exchange on query_id) every later step works on that partitioning.
     """
-    found = candidates(queries, vectors, top_k * over_fetch, documents)
-    asked = queries.select("query_id", term_counts(tx.lower_words(F.col("query"))).alias("asked"))
-    return fuse(candidate_bm25(found.join(asked, "query_id")), top_k, bm25_weight, vector_weight)
+    found = candidates(queries, vectors, top_k * over_fetch, documents, blocks, one_document)
+    return fuse(candidate_bm25(found, queries), top_k, bm25_weight, vector_weight)
 
 
-def candidate_bm25(found: DataFrame, k1: float = fv.BM25_K1, b: float = fv.BM25_B, epsilon: float = fv.BM25_EPSILON) -> DataFrame:
-    """BM25 of each candidate with the candidates of its query as the corpus.
+def candidate_bm25(found: DataFrame, queries: DataFrame, k1: float = fv.BM25_K1, b: float = fv.BM25_B, epsilon: float = fv.BM25_EPSILON) -> DataFrame:
+    """BM25 of each candidate with the candidates of its query as the corpus; one that shares no term scores zero.
 
     Same formula as ``bm25_scores``; the corpora hold k candidates at most, so the
     statistics are windows over query_id.  A term with n postings adds 1/n per posting
     to the sums behind the mean inverse frequency.
     """
     by_query, by_term = Window.partitionBy("query_id"), Window.partitionBy("query_id", "term")
+    found = found.join(queries.select("query_id", term_counts(tx.lower_words(F.col("query"))).alias("asked")), "query_id")
     sized = found.withColumn("_tokens", tx.lower_words(F.col("content"))).withColumn("dl", F.size("_tokens")).select(
         "*", F.count(F.lit(1)).over(by_query).alias("n_docs"), F.avg("dl").over(by_query).alias("avgdl"),
         term_counts(F.col("_tokens")).alias("_terms"))
@@ -309,8 +181,7 @@ def fuse(scored: DataFrame, top_k: int, bm25_weight: float = fv.BM25_WEIGHT, vec
     group = Window.partitionBy("query_id")
 
     def scaled(name: str) -> Column:
-        low, high = F.min(name).over(group), F.max(name).over(group)
-        return F.coalesce((F.col(name) - low) / F.nullif(high - low, F.lit(0.0)), F.lit(1.0))
+        return _scaled(F.col(name), F.min(name).over(group), F.max(name).over(group))
 
     fused = scored.select(
         "*", scaled("vector_score").alias("_v"), scaled("bm25_score").alias("_b")
@@ -352,7 +223,7 @@ def highlight(requests: DataFrame, vectors: DataFrame, documents: DataFrame, top
     if "owner_id" in requests.columns:
         requests = requests.join(documents.select(F.col("id").alias("document_id"), "owner_id"), ["document_id", "owner_id"], "left_semi").drop("owner_id")
     asked = requests.withColumn("document_ids", F.array("document_id"))
-    hits = hybrid_search(asked, vectors, top_k)
+    hits = hybrid_search(asked, vectors, top_k, one_document=True)
     joined = hits.join(requests.select("query_id", "query", F.col("page_number").alias("only_page")), "query_id").filter(
         F.col("only_page").isNull() | (F.col("only_page") == 0) | (F.col("only_page") == F.col("page_number"))
     )
@@ -378,10 +249,10 @@ def related_queries(requests: DataFrame, n_words: int = 8) -> DataFrame:
 
 
 def related_content(requests: DataFrame, vectors: DataFrame, documents: DataFrame, top_k: int = fv.TOP_K,
-                    embedder: Callable[[Column], Column] | None = None) -> DataFrame:
+                    embedder: Callable[[Column], Column] | None = None, blocks: str | None = None) -> DataFrame:
     """Further hits that neither contain the given answer nor are contained in it."""
     widened = embed_texts(related_queries(requests).drop("embedding"), "query", embedder)
-    hits = hybrid_search(widened, vectors, top_k + 5, documents=documents).join(requests.select("query_id", "answer_text"), "query_id")
+    hits = hybrid_search(widened, vectors, top_k + 5, documents=documents, blocks=blocks).join(requests.select("query_id", "answer_text"), "query_id")
     answer, content = F.lower(F.coalesce("answer_text", F.lit(""))), F.lower("content")
     fresh = hits.filter((answer == "") | ~(F.contains(answer, content) | F.contains(content, answer)))
     kept = rank_rows(fresh.withColumnRenamed("rank", "hit_rank"), "final_score", "rank", top_k, "hit_rank")

@@ -24,12 +24,8 @@ C.add("corpus_d", "SELECT 0 AS corpus_id, chunk_id, content FROM chunks_v", "chu
 C.add("corpus_q", "SELECT query_id, 0 AS corpus_id, query FROM queries_v", "queries_v")
 add_bm25("all", "corpus_q", "corpus_d", ("corpus_q", "corpus_d"))
 
-C.add("table_vectors", "SELECT v.*, d.text AS content FROM vectors_v v JOIN documents d ON d.doc_id = v.chunk_id", "vectors_v")
-C.add("table_questions", """
-SELECT q.query_id, q.query, v.embedding,
-       CASE q.query_id % 3 WHEN 1 THEN [q.query_id % 10] WHEN 2 THEN [0, 3, 6, 9]::BIGINT[] END AS document_ids
-FROM queries_v q JOIN vectors_v v ON v.chunk_id = q.query_id""", "queries_v", "vectors_v")
-add_hybrid("tab5", "table_questions", "table_vectors", 5, ("table_questions", "table_vectors"))
+C.add("cand_scores", "SELECT query_id, chunk_id, coalesce(b.bm25_score, 0.0) AS bm25_score FROM rag_cand LEFT JOIN rag_bm25 b USING (query_id, chunk_id)",
+      "rag_cand", "rag_bm25")
 
 C.add("high_q", """
 SELECT query_id, query, embedding, [query_id * 3] AS document_ids, query_id * 3 AS wanted, CASE WHEN query_id % 2 = 0 THEN 1 END AS only_page
@@ -58,13 +54,13 @@ SQL = {
     "vector_topk_prefilter": C.sql(ranked("q_doc = v_doc"), "pairs_v"),
     "vector_topk_postfilter": C.sql(ranked("true", "v_doc IN (q_doc, (q_doc + 1) % 10)"), "pairs_v"),
     "vector_count": "SELECT count(*) AS n_vectors FROM embeddings",
-    "bm25_scores": C.sql("SELECT * FROM all_bm25", "all_bm25"),
+    "bm25_scores": C.sql("SELECT * FROM cand_scores", "cand_scores"),
     "bm25_topk": C.sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, chunk_id) AS bm25_rank "
                        "FROM all_bm25) WHERE bm25_rank <= 5", "all_bm25"),
     "normalize_scores": C.sql("SELECT query_id, chunk_id, round(coalesce((bm25_score - min(bm25_score) OVER g) / "
-                              "nullif(max(bm25_score) OVER g - min(bm25_score) OVER g, 0), 1.0), 6) AS norm_score FROM all_bm25 "
-                              "WINDOW g AS (PARTITION BY query_id)", "all_bm25"),
-    "hybrid_search": C.sql("SELECT query_id, rank, chunk_id, document_id, bm25_score, vector_score, final_score FROM tab5_hits", "tab5_hits"),
+                              "nullif(max(bm25_score) OVER g - min(bm25_score) OVER g, 0), 1.0), 6) AS norm_score FROM cand_scores "
+                              "WINDOW g AS (PARTITION BY query_id)", "cand_scores"),
+    "hybrid_search": C.sql("SELECT query_id, rank, chunk_id, document_id, bm25_score, vector_score, final_score FROM rag_hits", "rag_hits"),
     "rerank": C.sql(f"""
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank, chunk_id, score AS final_score
 FROM (SELECT *, {dk.simple_overlap('query', 'content')} AS score FROM hits_v)""", "hits_v"),

@@ -29,7 +29,7 @@ def flat_answers(df: DataFrame) -> DataFrame:
 
 
 def q_rag(spark: SparkSession, d: str) -> DataFrame:
-    answers = an.rag_query(sh.questions(spark, d), sh.chunk_vectors(spark, d), fx.documents(spark, d))
+    answers = an.rag_query(sh.questions(spark, d), sh.chunk_vectors(spark, d), fx.documents(spark, d), blocks=sh.vector_blocks(spark, d))
     return flat_answers(answers).withColumn("suggested_questions", F.coalesce(F.array_join("suggested_questions", "\n"), F.lit("")))
 
 

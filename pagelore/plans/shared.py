@@ -1,37 +1,45 @@
 """Intermediate relations that several catalog queries read.
 
-Within one session they are persisted once per data folder, as a user would cache
-a chunk table that many questions are asked against.
+Within one session they are stored once per data folder below the checkpoint folder, as a user would store
+a chunk table that many questions are asked against; readers prune columns and join by the stored sizes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelore.operators import answers as an
+from pagelore.operators import bm25
 from pagelore.operators import retrieval as rt
+from pagelore.operators import vectors as vc
 from pagelore.plans import fixtures as fx
 from pagelore.plans import pages_plan
+from pagelore.session import ensure_checkpoint_dir
 
-_kept: dict[tuple, DataFrame] = {}
+_stored: dict[tuple, str] = {}
 
 
-def keep(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def place(spark: SparkSession, d: str, name: str, write: Callable[[str], None]) -> str:
+    """Where ``write`` stored a relation of a data folder in this session."""
     key = (spark.sparkContext.applicationId, d, name)
-    if key not in _kept:
-        _kept[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
-    return _kept[key]
+    if key not in _stored:
+        path = f"{ensure_checkpoint_dir(spark)}/pagelore-{name}-{uuid.uuid4().hex}"
+        write(path)
+        _stored[key] = path
+    return _stored[key]
+
+
+def keep(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return spark.read.parquet(place(spark, d, name, lambda path: build().write.parquet(path)))
 
 
 def release() -> None:
-    """Drop the persisted relations (used between bench runs)."""
-    while _kept:
-        _, df = _kept.popitem()
-        df.unpersist()
+    """Forget the stored relations (used between bench runs)."""
+    _stored.clear()
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +47,19 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return keep(spark, d, "chunk_vectors", lambda: rt.embed_texts(chunks(spark, d), "content"))
+    """Chunks with their vectors in buckets of the document: joins on ``document_id`` move no vector."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = place(spark, d, "chunk_vectors", lambda path: rt.embed_texts(chunks(spark, d), "content").repartition(n, "document_id").write.option(
+        "path", path).bucketBy(n, "document_id").sortBy("document_id").saveAsTable(path.rsplit("/", 1)[1].replace("-", "_")))
+    return spark.table(table.rsplit("/", 1)[1].replace("-", "_"))
+
+
+def vector_blocks(spark: SparkSession, d: str) -> str:
+    return place(spark, d, "vector-blocks", lambda path: vc.write_blocks(chunk_vectors(spark, d), path))
+
+
+def text_index(spark: SparkSession, d: str) -> str:
+    return place(spark, d, "text-index", lambda path: bm25.write_index(chunks(spark, d), path))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +75,6 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 def hits(spark: SparkSession, d: str) -> DataFrame:
     def build() -> DataFrame:
         q, docs = questions(spark, d), fx.documents(spark, d)
-        return an.attach(rt.hybrid_search(q, chunk_vectors(spark, d), documents=docs), q, docs)
+        return an.attach(rt.hybrid_search(q, chunk_vectors(spark, d), documents=docs, blocks=vector_blocks(spark, d)), q, docs)
 
     return keep(spark, d, "hits", build)
