@@ -23,7 +23,7 @@ FROM (SELECT event_type, date_trunc('day', ts) - i * INTERVAL '1' DAY AS w FROM
 
 SQL = {
     "stream_ingest": C.sql("SELECT c.*, sha256(d.text) AS file_hash FROM chunks_v c JOIN documents d ON d.doc_id = c.document_id WHERE d.doc_id % 50 <> 7", "chunks_v"),
-    "stream_dedupe": C.sql("SELECT DISTINCT sha256(text) AS file_hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM docs_v WHERE status = 'processed')", "docs_v"),
+    "stream_dedupe": C.sql("SELECT sha256(text) AS file_hash, min(doc_id) AS first_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM docs_v WHERE status = 'processed') GROUP BY 1", "docs_v"),
     "cache_hits_ttl": _HITS,
     "cache_hits_stream": _HITS,
     "recent_activity": _WINDOWS,

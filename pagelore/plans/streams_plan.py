@@ -16,6 +16,14 @@ def source(spark: SparkSession, d: str, name: str) -> DataFrame:
     return jobs.file_stream(spark, d, f"{name}.parquet", fx.table(spark, d, name).schema)
 
 
+def scattered(spark: SparkSession, d: str, name: str, key: str, files: int = 4) -> DataFrame:
+    """A table as a stream of several files out of time order, one file a micro-batch."""
+    rows = fx.table(spark, d, name)
+    folder = scratch(spark, f"landing-{name}")
+    rows.withColumn("_file", F.pmod(F.xxhash64(key), F.lit(files))).repartition("_file").write.partitionBy("_file").parquet(folder)
+    return jobs.file_stream(spark, f"{folder}/*", "*.parquet", rows.schema, files_per_batch=1)
+
+
 def arriving(spark: SparkSession, d: str) -> DataFrame:
     return source(spark, d, "documents").select(
         F.col("doc_id").alias("id"), F.expr("concat('doc_', doc_id, CASE WHEN doc_id % 50 = 7 THEN '.txt' ELSE '.pdf' END)").alias("original_name"),
@@ -33,22 +41,22 @@ def q_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Contents of all documents that no processed document holds yet."""
+    """Contents of all documents that no processed document holds yet, with the first that brought them."""
     folder = scratch(spark, "dedupe")
-    hashed = source(spark, d, "documents").select(
-        "doc_id", F.sha2("text", 256).alias("file_hash"),
+    hashed = scattered(spark, d, "documents", "doc_id").select(
+        F.col("doc_id").alias("id"), F.sha2("text", 256).alias("file_hash"),
         F.expr(f"CAST({fx.EPOCH} + doc_id * INTERVAL '1' MINUTE AS timestamp)").alias("arrived_at"))
-    stored = fx.documents(spark, d).filter("status = 'processed'").select("file_hash")
-    jobs.run_available(jobs.dedupe(hashed, stored), jobs.batch_writer(f"{folder}/out"), f"{folder}/progress")
-    return spark.read.parquet(f"{folder}/out").select("file_hash")
+    done = fx.documents(spark, d).filter("status = 'processed'").select("file_hash")
+    jobs.dedupe(hashed, done, folder, f"{folder}/progress", "10 minutes")
+    return jobs.first_arrivals(spark, folder).select("file_hash", F.col("id").alias("first_id"))
 
 
 def q_cache_stream(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "cache")
-    asked = source(spark, d, "events").select(
+    asked = scattered(spark, d, "events", "event_id").select(
         "event_id", F.concat("event_type", F.lit("|"), "props").alias("cache_key"), F.col("ts").cast("timestamp").alias("asked_at"))
-    jobs.run_available(jobs.cache_state(asked), jobs.batch_writer(f"{folder}/out"), f"{folder}/progress")
-    return spark.read.parquet(f"{folder}/out").drop("batch_id")
+    jobs.cache_state(asked, folder, f"{folder}/progress")
+    return jobs.judged(spark, folder)
 
 
 def stamped(df: DataFrame) -> DataFrame:
@@ -59,9 +67,9 @@ def stamped(df: DataFrame) -> DataFrame:
 
 def q_recent_stream(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "recent")
-    events = source(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("at"))
-    jobs.run_available(jobs.recent_activity(events), jobs.batch_writer(f"{folder}/out"), f"{folder}/progress", "update")
-    return stamped(jobs.newest_rows(spark, f"{folder}/out", "window_start", "window_end", "event_type"))
+    events = scattered(spark, d, "events", "event_id").select("event_type", F.col("ts").cast("timestamp").alias("at"))
+    jobs.recent_activity(events, folder, f"{folder}/progress")
+    return stamped(jobs.activity_so_far(spark, folder))
 
 
 def q_feedback_live(spark: SparkSession, d: str) -> DataFrame:
