@@ -31,6 +31,8 @@ STRIDE = 10
 #: Keys of the trees: a null language before the others, and the tree over the subroots.
 NULL_TREE, LANG_TREE, ROOT_TREE = "0", "1", "root"
 DIGEST = 32
+#: Keys of a tree in a join with its leaves.
+SALTS = 64
 
 LINK = "sides string, siblings binary"
 
@@ -44,6 +46,13 @@ def digest(*columns: Column) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
+def of_tree(rows: DataFrame, trees: DataFrame, spread: str) -> DataFrame:
+    """``rows`` with the columns of their tree; a tree with a large share of the rows is split by ``spread`` over ``SALTS`` keys."""
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    return salted.join(trees.withColumn("_salt", salts), ["tree", "_salt"]).drop("_salt")
+
+
 def leaves(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``tree``, ``leaf`` and ``tampered`` (null where nothing is tampered with) as 32 bytes."""
     docs = own(docs, "doc_id", "source", "lang", "n_chars", "text").withColumns(
@@ -182,7 +191,7 @@ def manifest(docs: DataFrame, stride: int = STRIDE) -> DataFrame:
 
     numbered = number_rows(hashed.withColumn("_tie", F.monotonically_increasing_id()), ["tree", "doc_id", "leaf", "_tie"], "no").drop("_tie")
     starts = numbered.groupBy("tree").agg(F.min("no").alias("first"))
-    placed = numbered.join(starts.join(trees.select("tree", "depth", "rank"), "tree"), "tree").select(
+    placed = of_tree(numbered, starts.join(trees.select("tree", "depth", "rank"), "tree"), "no").select(
         "tree", (F.col("no") - F.col("first")).alias("idx"), F.col("leaf").alias("hash"), "depth", "rank", "doc_id", "tampered")
     lower = _store(placed, ROOT_TREE, folder, "lang", known.depth, stride)
     tops = _subroots(spark, lower)
@@ -194,7 +203,7 @@ def manifest(docs: DataFrame, stride: int = STRIDE) -> DataFrame:
 
     climbed = climb(spark, lower[0], lower[1:] + upper)
     text = lambda c: F.lower(F.hex(c))
-    return climbed.join(tops.select("tree", "subroot"), "tree").select(
+    return of_tree(climbed, tops.select("tree", "subroot"), "proof").select(
         "doc_id", text("leaf").alias("leaf"), text("subroot").alias("subroot"), root.alias("root"), text("proof").alias("proof_sha256"),
         text("folded").alias("folded_root"), (text("folded") == root).alias("verified"))
 
