@@ -23,8 +23,8 @@ from pagelore.operators.blocks import meet
 from pagelore.session import ensure_checkpoint_dir
 
 BLOCK_VECTORS = 2048
-#: Anchors are so many of the vectors at most; summaries come in pages of so many blocks.
-MAX_ANCHORS, PAGE_BLOCKS = 4096, 4096
+#: Anchors are so many of the vectors at most; a cell of an anchor has about so many blocks, and a page the summaries of so many cells.
+MAX_ANCHORS, CELL_BLOCKS, PAGE_CELLS = 4096, 16, 256
 FIRST_BLOCKS = 2
 #: Scores are rounded to six decimals; a bound must fall short by more than that and the noise of the angles.
 SLACK = 2e-6
@@ -85,44 +85,59 @@ def score_cells(blocks: DataFrame, asked: DataFrame, k: int, exclude_self: bool)
 
 # --- all vectors -------------------------------------------------------------------
 def write_blocks(vectors: DataFrame, folder: str, block_vectors: int = BLOCK_VECTORS) -> None:
-    """Blocks of ``vectors`` (chunk_id, embedding) and their summaries as two tables below ``folder``.
+    """Blocks of ``vectors`` (chunk_id, embedding) as a table ``folder``: the members, and on each first one the block's summary.
 
-    Anchors are the vectors with the least hashed ids, one for each block's worth of vectors up to
-    ``MAX_ANCHORS``.  A cell with more vectors than a block holds is cut by hash.
+    Anchors are the vectors with the least hashed ids, one for each block's worth of vectors up to ``MAX_ANCHORS``; beyond
+    that every anchor has several cells by hash.  A cell streams through a task, which cuts it into blocks.
     """
-    spark = vectors.sparkSession
     v = vectors.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding")).filter(F.col("embedding").isNotNull())
-    wanted = max(1, min(MAX_ANCHORS, v.count() // block_vectors))
+    n = v.count()
+    wanted = max(1, min(MAX_ANCHORS, n // block_vectors))
+    salts = max(1, -(-n // (wanted * block_vectors * CELL_BLOCKS)))
     anchors = v.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(wanted).select("embedding").toPandas()["embedding"]
     matrix = unit(list(anchors)).astype(np.float32) if len(anchors) else np.zeros((1, 1), dtype=np.float32)
 
-    @F.pandas_udf("int")
+    @F.pandas_udf("long")
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series((unit(list(batch)).astype(np.float32) @ matrix.T).argmax(axis=1)) if len(batch) else pd.Series([], dtype="int32")
-
-    v.withColumn("anchor", nearest("embedding")).write.mode("overwrite").parquet(f"{folder}/assigned")
-    assigned = spark.read.parquet(f"{folder}/assigned")
-    sizes = sorted(tuple(r) for r in assigned.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).collect())  # MAX_ANCHORS rows at most
-    cuts, first = [], 0
-    for anchor, n in sizes:
-        cuts.append((anchor, first, -(-n // block_vectors)))
-        first += cuts[-1][2]
-    table = spark.createDataFrame(cuts, "anchor int, first long, parts long")
-    block = F.col("first") + F.pmod(F.xxhash64("chunk_id"), F.col("parts"))
-    assigned.join(F.broadcast(table), "anchor").select(block.alias("block"), "chunk_id", "embedding").repartition("block").sortWithinPartitions(
-        "block", "chunk_id").write.mode("overwrite").parquet(f"{folder}/vectors")
-
-    def summary(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            yield pd.Series((unit(list(batch)).astype(np.float32) @ matrix.T).argmax(axis=1).astype("int64")) if len(batch) else pd.Series([], dtype="int64")
+
+    def block(cell: int, number: int, rows: pd.DataFrame) -> pd.DataFrame:
         members = unit(rows["embedding"])
         mean = members.mean(axis=0)
         length = np.sqrt((mean * mean).sum())
         centre = mean / max(length, 1e-300)
         radius = float(np.arccos(np.clip((members @ centre).min(), -1, 1))) if length > 1e-9 else float(np.pi)
-        return pd.DataFrame({"page": [key[0] // PAGE_BLOCKS], "block": [key[0]], "centre": [centre], "radius": [radius]})
-
-    spark.read.parquet(f"{folder}/vectors").groupBy("block").applyInPandas(
-        summary, "page long, block long, centre array<double>, radius double").write.mode("overwrite").parquet(f"{folder}/summaries")
+        rest = [None] * (len(rows) - 1)
+        return pd.DataFrame({"page": cell // PAGE_CELLS, "block": (cell << 24) + number, "chunk_id": rows["chunk_id"].to_numpy(), "embedding": list(rows["embedding"]),
+                             "centre": [centre, *rest], "radius": [radius, *rest]})
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, number, held, size = None, 0, [], 0
+        for frame in frames:
+            cells = frame["cell"].to_numpy()
+            ends = np.flatnonzero(cells[1:] != cells[:-1]) + 1
+            for low, high in zip(np.append(0, ends), np.append(ends, len(frame))):
+                if low == high:
+                    continue
+                if cells[low] != cell:
+                    if held:
+                        yield block(cell, number, pd.concat(held))
+                    cell, number, held, size = int(cells[low]), 0, [], 0
+                while low < high:
+                    taken = frame.iloc[low:min(high, low + block_vectors - size)]
+                    held.append(taken)
+                    low, size = low + len(taken), size + len(taken)
+                    if size == block_vectors:
+                        yield block(cell, number, pd.concat(held))
+                        number, held, size = number + 1, [], 0
+        if held:
+            yield block(cell, number, pd.concat(held))
+
+    cell = (nearest("embedding") * salts + F.pmod(F.xxhash64("chunk_id"), F.lit(salts))).alias("cell")
+    kind = _type(v, "chunk_id")
+    v.select(cell, "chunk_id", "embedding").repartition("cell").sortWithinPartitions("cell", "chunk_id").mapInPandas(
+        cut, f"page long, block long, chunk_id {kind}, embedding array<float>, centre array<double>, radius double").write.mode("overwrite").parquet(folder)
 
 
 def _bounds(queries: DataFrame, folder: str, first: int) -> DataFrame:
@@ -132,7 +147,7 @@ def _bounds(queries: DataFrame, folder: str, first: int) -> DataFrame:
     all blocks whose bound reaches the floor, except those ``seen`` (an array).
     """
     spark = queries.sparkSession
-    summaries = spark.read.parquet(f"{folder}/summaries").withColumnRenamed("page", "cell").withColumnRenamed("block", "summary_block")
+    summaries = spark.read.parquet(folder).filter(F.col("radius").isNotNull()).select(F.col("page").alias("cell"), F.col("block").alias("summary_block"), "centre", "radius")
     pages = summaries.agg(F.max("cell")).scalar()
     asked = queries.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(pages, F.lit(0).cast("long")))))
     floored = "floor" in queries.columns
@@ -160,7 +175,7 @@ def blocks_topk(queries: DataFrame, folder: str, k: int, exclude_self: bool = Fa
     """``query_id``, ``chunk_id``, ``vector_score``, ``vector_rank``: exact top-k of every query (unique query_id) over stored blocks."""
     spark = queries.sparkSession
     ensure_checkpoint_dir(spark)
-    stored = spark.read.parquet(f"{folder}/vectors").withColumnRenamed("block", "cell")
+    stored = spark.read.parquet(folder).select(F.col("block").alias("cell"), "chunk_id", "embedding")
     q = queries.select("query_id", F.col("embedding").cast("array<float>").alias("embedding")).filter(F.col("embedding").isNotNull())
 
     def scored(chosen: DataFrame) -> DataFrame:
