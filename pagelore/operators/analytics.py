@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelore.functions import fixed_values as fv
 from pagelore.functions import text as tx
+from pagelore.session import ensure_checkpoint_dir
 
-DOCS_PER_BLOCK = 256
+#: Documents are alike above this share, the overlap of the smaller set weighed by the other.
+LEAST_SIMILARITY, OVERLAP_WEIGHT = 0.03, 0.7
+
+
+def once(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
+    """``keep`` and a dear ``value``, which later filters read but never evaluate again (no filter passes a generator)."""
+    return df.select(*keep, F.inline(F.array(F.struct(value.alias(name)))))
 
 
 # --- words -------------------------------------------------------------------
@@ -119,12 +124,16 @@ def doc_keywords(chunks: DataFrame, max_chunks: int = 30, max_chars: int = 3000)
     words = F.filter(F.array_distinct(tx.words(letters)), lambda w: (F.length(w) > 3) & ~F.array_contains(stop, w)
                      & (F.replace(w, F.substring(w, 1, 1), F.lit("")) != ""))
     few = F.length(tx.strip(F.col("head"))) < 20
-    return head.select("document_id", F.when(~few, F.sort_array(words)).alias("keywords")).filter(F.col("keywords").isNotNull())
+    return once(head, "keywords", F.when(~few, F.sort_array(words)), "document_id").filter(F.col("keywords").isNotNull())
 
 
-def _owner_keywords(documents: DataFrame, keywords: DataFrame) -> DataFrame:
+def _owned(documents: DataFrame, keywords: DataFrame) -> DataFrame:
     mine = documents.filter(F.col("status") == "processed").select(F.col("id").alias("document_id"), "owner_id", "original_name")
-    owned = mine.join(keywords, "document_id")
+    return mine.join(keywords, "document_id")
+
+
+def _owner_keywords(documents: DataFrame, keywords: DataFrame) -> DataFrame:
+    owned = _owned(documents, keywords)
     counts = owned.groupBy("owner_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
     return owned.join(counts, "owner_id")
 
@@ -135,58 +144,51 @@ def relationship_nodes(documents: DataFrame, keywords: DataFrame) -> DataFrame:
         "owner_id", "document_id", F.col("original_name").alias("label"), F.size("keywords").cast("long").alias("keyword_count"))
 
 
-def _cell_edges(cell: pd.DataFrame) -> pd.DataFrame:
-    """Edges between the two blocks of one cell (or within a block on the diagonal)."""
-    left_block, right_block = int(cell["left_block"].iloc[0]), int(cell["right_block"].iloc[0])
-    left, right = cell[cell["block"] == left_block], cell[cell["block"] == right_block]
-    columns = ["owner_id", "source", "target", "similarity", "shared_count", "relationship", "shared_topics"]
-    shared = sorted(set().union(*left["keywords"]) & set().union(*right["keywords"]), key=lambda w: (-len(w), w)) if len(left) and len(right) else []
-    if not shared:
-        return pd.DataFrame({c: pd.Series([], dtype=object if c in ("relationship", "shared_topics") else float) for c in columns})
-    at = {w: i for i, w in enumerate(shared)}
-
-    def incidence(rows: pd.DataFrame) -> np.ndarray:
-        m = np.zeros((len(rows), len(shared)), dtype=np.float32)
-        for i, ws in enumerate(rows["keywords"]):
-            m[i, [at[w] for w in ws if w in at]] = 1.0
-        return m
-
-    a, b = incidence(left), incidence(right)
-    overlap = a @ b.T
-    na = left["keywords"].map(len).to_numpy(float)[:, None]
-    nb = right["keywords"].map(len).to_numpy(float)[None, :]
-    similarity = np.maximum(overlap / (na + nb - overlap), 0.7 * (overlap / np.minimum(na, nb)))
-    keep = (similarity > 0.03) & (overlap >= 2)
-    ids_a, ids_b = left["document_id"].to_numpy(), right["document_id"].to_numpy()
-    if left_block == right_block:
-        keep &= ids_a[:, None] < ids_b[None, :]
-    i, j = np.nonzero(keep)
-    sim = similarity[i, j]
-    topics = [",".join(shared[t] for t in np.flatnonzero(a[x] * b[y])[:8]) for x, y in zip(i, j)]
-    return pd.DataFrame({
-        "owner_id": cell["owner_id"].iloc[0], "source": np.minimum(ids_a[i], ids_b[j]), "target": np.maximum(ids_a[i], ids_b[j]),
-        "similarity": sim, "shared_count": overlap[i, j].astype(int),
-        "relationship": pd.Series(["strong" if x > 0.15 else "moderate" if x > 0.07 else "weak" for x in sim], dtype=object),
-        "shared_topics": pd.Series(topics, dtype=object)})[columns]
-
-
-def doc_relationships(documents: DataFrame, keywords: DataFrame, block_docs: int = DOCS_PER_BLOCK) -> DataFrame:
-    """Edges between an owner's documents whose keyword sets are alike.
-
-    The documents of an owner are cut into blocks of bounded size; each pair of blocks
-    is one task-sized cell in which overlaps are one matrix product.  An owner with a
-    third of all documents becomes many cells, and only qualifying edges leave a cell.
+def least_overlap(n: Column) -> Column:
+    """Words that a set of n must share with a larger one to be alike: at least two, and over 3 of 70 of its own.
+
+    A share of 3 % of the union is more than that, so the smaller set decides.  The rounding errs to the low side.
+    """
+    return F.greatest(F.lit(2), (F.floor(n * (LEAST_SIMILARITY / OVERLAP_WEIGHT) - 1e-9) + 1).cast("int"))
+
+
+def alike_candidates(ranked: DataFrame) -> DataFrame:
+    """Pairs of documents that share a word early enough in both lists (owner_id, document_id, n, ordered: rare words first).
+
+    Sets that share t words have one of them among the first m - t + 1 of each list.  So the common words at
+    the end of the lists, which nearly all documents share, bring nobody together.
+    """
+    index = ranked.select("owner_id", "document_id", "n", F.size("ordered").alias("m"), F.posexplode("ordered.word").alias("at", "word")).filter(F.col("at") <= F.col("m") - 2)
+    a, b = index.alias("a"), index.alias("b")
+    t = least_overlap(F.least("a.n", "b.n"))
+    early = (F.col("a.at") <= F.col("a.m") - t) & (F.col("b.at") <= F.col("b.m") - t)
+    meet = (F.col("a.owner_id") == F.col("b.owner_id")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.document_id") < F.col("b.document_id"))
+    return a.join(b, meet & early).select("a.owner_id", F.col("a.document_id").alias("source"), F.col("b.document_id").alias("target")).distinct()
+
+
+def doc_relationships(documents: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Edges between an owner's documents whose keyword sets are alike: a prefix-filtered set-similarity join, verified in the row.
+
+    Words that only one document of the owner has are left out before anything is joined.  The ordered lists are written
+    to the checkpoint folder once, since both sides of the join and of the verification read them.
     """
-    usable = _owner_keywords(documents, keywords).filter(F.size("keywords") >= 3)
-    blocks = F.ceil(F.col("n") / block_docs)
-    blocked = usable.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("document_id"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    cells = blocked.select("owner_id", "document_id", "keywords", "block", other.alias("other")).select(
-        "owner_id", "document_id", "keywords", "block",
-        F.least("block", "other").alias("left_block"), F.greatest("block", "other").alias("right_block"))
-    edges = cells.groupBy("owner_id", "left_block", "right_block").applyInPandas(
-        _cell_edges, "owner_id long, source long, target long, similarity double, shared_count long, relationship string, shared_topics string")
-    return edges.withColumn("similarity", F.round("similarity", 3))
+    ensure_checkpoint_dir(documents.sparkSession)
+    usable = _owned(documents, keywords).filter(F.size("keywords") >= 3).select("owner_id", "document_id", "keywords").checkpoint()
+    posts = usable.select("owner_id", "document_id", F.size("keywords").alias("n"), F.explode("keywords").alias("word"))
+    known = posts.groupBy("owner_id", "word").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ranked = posts.join(known, ["owner_id", "word"]).groupBy("owner_id", "document_id").agg(
+        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ordered")).checkpoint()
+    side = lambda name: ranked.select(F.col("document_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("ordered.word").alias(f"words_{name}"))
+    common = F.array_intersect("words_source", "words_target")
+    pairs = alike_candidates(ranked).join(side("source"), "source").join(side("target"), "target")
+    verified = once(pairs, "common", common, "owner_id", "source", "target", "n_source", "n_target").withColumn("shared", F.size("common"))
+    jaccard = F.col("shared") / (F.col("n_source") + F.col("n_target") - F.col("shared"))
+    similarity = F.greatest(jaccard, OVERLAP_WEIGHT * (F.col("shared") / F.least("n_source", "n_target")))
+    topics = F.transform(F.slice(F.array_sort(F.transform("common", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1, 8), lambda x: x["w"])
+    strength = F.when(F.col("sim") > 0.15, "strong").when(F.col("sim") > 0.07, "moderate").otherwise("weak")
+    return verified.withColumn("sim", similarity).filter((F.col("sim") > LEAST_SIMILARITY) & (F.col("shared") >= 2)).select(
+        "owner_id", "source", "target", F.round("sim", 3).alias("similarity"), F.col("shared").cast("long").alias("shared_count"),
+        strength.alias("relationship"), F.array_join(topics, ",").alias("shared_topics"))
 
 
 # --- overviews -----------------------------------------------------------------

@@ -22,7 +22,7 @@ def test_registrations_follow_request_order(spark):
     assert sorted(r.request_id for r in mt.register_users(asked, stored).collect()) == want
 
 
-def test_relationship_blocks_equal_all_pairs(spark):
+def test_relationships_equal_all_pairs(spark):
     rng = random.Random(3)
     vocabulary = [f"word{i}" for i in range(60)]
     sets = {i: sorted(rng.sample(vocabulary, rng.randrange(1, 12))) for i in range(40)}
@@ -36,9 +36,18 @@ def test_relationship_blocks_equal_all_pairs(spark):
                 sim = max(len(x & y) / len(x | y), 0.7 * len(x & y) / min(len(x), len(y)))
                 if sim > 0.03:
                     want.add((a, b, len(x & y), ",".join(sorted(x & y, key=lambda w: (-len(w), w))[:8])))
-    for block in (256, 5):
-        got = {(r.source, r.target, r.shared_count, r.shared_topics) for r in al.doc_relationships(docs, kws, block).collect()}
-        assert got == want
+    edges = al.doc_relationships(docs, kws)
+    assert {(r.source, r.target, r.shared_count, r.shared_topics) for r in edges.collect()} == want
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Python" not in plan
+
+
+def test_common_words_bring_nobody_together(spark):
+    sets = {i: [*[f"common{j:03d}" for j in range(4)], *[f"own{i}x{j:03d}" for j in range(100)]] for i in range(30)}
+    sets[50] = [f"own7x{j:03d}" for j in range(90)]
+    rows = [(i, 0, len(ws), [{"df": 30 if w.startswith("common") else 2, "word": w} for w in sorted(ws, key=lambda w: (w.startswith("common"), w))]) for i, ws in sets.items()]
+    ranked = spark.createDataFrame(rows, "document_id long, owner_id long, n int, ordered array<struct<df:int,word:string>>")
+    assert [(r.source, r.target) for r in al.alike_candidates(ranked).collect()] == [(7, 50)]
 
 
 def test_cache_hits_for_ordinary_and_hot_keys(spark):
