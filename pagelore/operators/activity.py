@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagelore.functions import fixed_values as fv
 from pagelore.functions import text as tx
 from pagelore.operators.running import number_rows
+from pagelore.operators.substring import matches
 
 
 # --- conversations -----------------------------------------------------------
@@ -66,15 +67,17 @@ def append_turns(answered: DataFrame, sessions: DataFrame) -> tuple[DataFrame, D
 
 
 def search_history(requests: DataFrame, sessions: DataFrame, bookmarks: DataFrame) -> DataFrame:
-    """Sessions and bookmarks of the asking user that contain the text."""
-    needle = F.lower("needle")
+    """Sessions and bookmarks of the asking user that contain the text; found per user and needle, hits alone meet the requests."""
     title = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(F.concat(F.lit("Session "), F.col("id").cast("string")))
-    s = requests.join(sessions, "user_id").filter(F.contains(F.lower(title), needle)).select(
-        "request_id", F.lit("session").alias("kind"), "id")
-    b = requests.join(bookmarks, "user_id").filter(
-        F.contains(F.lower("query"), needle) | F.contains(F.lower("answer"), needle)
-    ).select("request_id", F.lit("bookmark").alias("kind"), "id")
-    return s.unionByName(b)
+    both = F.array("query", "answer")
+    texts = sessions.select("user_id", F.lit("session").alias("kind"), "id", title.alias("text"), F.lit(0).alias("part")).unionByName(
+        bookmarks.select("user_id", F.lit("bookmark").alias("kind"), "id", F.posexplode(both).alias("part", "text")))
+    asked = requests.select("user_id", F.lower("needle").alias("key"), "request_id")
+    name = F.concat_ws("/", "kind", F.col("id").cast("string"), F.col("part").cast("string"))
+    found = matches(requests.select("user_id", "needle"), texts.select("user_id", name.alias("name"), "text"), "user_id", "name")
+    hit = F.split("name", "/")
+    rows = found.select("user_id", F.col("needle").alias("key"), hit[0].alias("kind"), hit[1].cast("long").alias("id")).distinct()
+    return rows.join(asked, ["user_id", "key"]).select("request_id", "kind", "id")
 
 
 # --- feedback ------------------------------------------------------------------

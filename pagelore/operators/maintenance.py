@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelore.functions import fixed_values as fv
 from pagelore.functions import text as tx
+from pagelore.operators.components import components, pair_key
 from pagelore.operators.running import number_rows
 from pagelore.session import ensure_checkpoint_dir
 
@@ -127,27 +131,51 @@ def validate_tasks(submitted: DataFrame, documents: DataFrame) -> DataFrame:
                     reason.alias("reject_reason"))
 
 
+#: Rounds in which first claims are settled in bulk before the rest is folded by clash group.
+BULK_ROUNDS = 2
+
+
 def register_users(requests: DataFrame, existing: DataFrame) -> DataFrame:
     """Accepted registrations: user name and e-mail must both be free, earlier requests first.
 
-    The two tests are separate equi-joins.  Inside the batch every round accepts the
-    requests that come first for both their name and their e-mail and drops what clashes
-    with them; rounds repeat only while refused requests leave someone undecided.
+    Of equal (name, e-mail) pairs only the first can win.  Two bulk rounds accept the requests that come first for both
+    their name and their e-mail and drop what clashes with them, which also settles a name that a large share asks
+    for.  What is left, chains of clashes, falls into connected groups; each is folded in request order, streaming, with
+    the names and e-mails that it has given away.  Jobs grow with the logarithm of the longest chain.
     """
-    waiting = requests.join(existing.select("username"), "username", "left_anti").join(existing.select("email"), "email", "left_anti")
     ensure_checkpoint_dir(requests.sparkSession)
-    accepted: DataFrame | None = None
-    while True:
-        waiting = waiting.checkpoint()
-        if waiting.isEmpty():
-            break
+    free = requests.join(existing.select("username"), "username", "left_anti").join(existing.select("email"), "email", "left_anti")
+    columns = ["request_id", "username", "email", "role"]
+    waiting = free.groupBy("username", "email").agg(F.min(F.struct("request_id", "role")).alias("first")).select(
+        "first.request_id", "username", "email", "first.role").checkpoint()
+    accepted = []
+    for _ in range(BULK_ROUNDS):
         by_name = waiting.groupBy("username").agg(F.min("request_id").alias("_name"))
         by_mail = waiting.groupBy("email").agg(F.min("request_id").alias("_mail"))
         first = waiting.join(by_name, "username").join(by_mail, "email").filter(
-            (F.col("request_id") == F.col("_name")) & (F.col("request_id") == F.col("_mail"))).drop("_name", "_mail")
-        accepted = first if accepted is None else accepted.unionByName(first)
-        waiting = waiting.join(first.select("username"), "username", "left_anti").join(first.select("email"), "email", "left_anti")
-    return (waiting if accepted is None else accepted).select("request_id", "username", "email", "role")
+            (F.col("request_id") == F.col("_name")) & (F.col("request_id") == F.col("_mail"))).select(*columns).checkpoint()
+        accepted.append(first)
+        waiting = waiting.join(first.select("username"), "username", "left_anti").join(first.select("email"), "email", "left_anti").checkpoint()
+
+    groups = components(waiting.select(pair_key("name", "username").alias("a"), pair_key("mail", "email").alias("b")))
+    chains = waiting.withColumn("node", pair_key("name", "username")).join(groups, "node").select("component", *columns)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, names, mails = None, set(), set()
+        for frame in frames:
+            won = []
+            for component, name, mail in zip(frame["component"], frame["username"], frame["email"]):
+                if component != group:
+                    group, names, mails = component, set(), set()
+                won.append(name not in names and mail not in mails)
+                if won[-1]:
+                    names.add(name)
+                    mails.add(mail)
+            yield frame.loc[won, columns]
+
+    kinds = ", ".join(f"{c} {waiting.schema[c].dataType.simpleString()}" for c in columns)
+    folded = chains.repartition("component").sortWithinPartitions("component", "request_id").mapInPandas(fold, kinds)
+    return accepted[0].unionByName(accepted[1]).unionByName(folded)
 
 
 # --- uploads -------------------------------------------------------------------

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pagelore.functions import fixed_values as fv
 from pagelore.functions import text as tx
+from pagelore.operators.substring import matches
 from pagelore.operators.vectors import rank_rows, vector_count, vector_topk, vector_topk_postfilter, vector_topk_prefilter  # noqa: F401
 
 EMBED_DIM = 256
@@ -200,19 +201,23 @@ def rerank(queries: DataFrame, hits: DataFrame, top_k: int = fv.TOP_K, scorer: C
 
 
 # --- content search ----------------------------------------------------------
-def search_content(requests: DataFrame, chunks: DataFrame, documents: DataFrame, limit: int = 20) -> DataFrame:
-    """Case-insensitive LIKE over the chunks of the asking owner, with a snippet."""
-    asked = requests.join(documents.select(F.col("id").alias("document_id"), "owner_id", "original_name"), "owner_id")
-    found = chunks.join(asked, "document_id").filter(
-        F.expr("content ILIKE concat('%', needle, '%')")
-    )
-    order = Window.partitionBy("request_id").orderBy("document_id", "chunk_index")
-    return (
-        found.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= limit)
-        .select("request_id", F.col("rn").cast("long").alias("position"), "document_id",
-                F.col("original_name").alias("filename"), "page_number", "chunk_id",
-                tx.snippet(F.col("content"), F.col("needle")).alias("snippet"))
-    )
+def search_content(requests: DataFrame, chunks: DataFrame, documents: DataFrame, limit: int | None = 20) -> DataFrame:
+    """Case-insensitive LIKE over the chunks of the asking owner, with a snippet; ``limit`` hits a request (None: all).
+
+    Chunks are found per owner and needle (``substring.matches``) and cut to the limit there; only hits meet the requests.
+    """
+    owners = documents.select(F.col("id").alias("document_id"), "owner_id", "original_name")
+    asked = requests.select("owner_id", F.lower("needle").alias("key"), "needle", "request_id")
+    theirs = chunks.join(owners.join(asked.select("owner_id").distinct(), "owner_id", "left_semi"), "document_id")
+    found = matches(requests.select("owner_id", "needle"), theirs.select("owner_id", "chunk_id", F.col("content").alias("text")), "owner_id", "chunk_id", wildcards=True)
+    placed = found.join(theirs.drop("owner_id"), "chunk_id")
+    order = Window.partitionBy("owner_id", "needle").orderBy("document_id", "chunk_index")
+    best = placed.withColumn("position", F.row_number().over(order).cast("long"))
+    if limit is not None:
+        best = best.filter(F.col("position") <= limit)
+    return best.withColumnRenamed("needle", "key").join(asked, ["owner_id", "key"]).select(
+        "request_id", "position", "document_id", F.col("original_name").alias("filename"), "page_number", "chunk_id",
+        tx.snippet(F.col("content"), F.col("needle")).alias("snippet"))
 
 
 def highlight(requests: DataFrame, vectors: DataFrame, documents: DataFrame, top_k: int = 10) -> DataFrame:

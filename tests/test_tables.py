@@ -7,6 +7,7 @@ from pagelore.operators import analytics as al
 from pagelore.operators import cache as ca
 from pagelore.operators import maintenance as mt
 from pagelore.operators import quality as qu
+from pagelore.operators.components import components
 from pagelore.operators.running import number_rows
 
 
@@ -22,6 +23,40 @@ def test_registrations_follow_request_order(spark):
     assert sorted(r.request_id for r in mt.register_users(asked, stored).collect()) == want
 
 
+def jobs_of(spark, run):
+    """How many jobs ``run`` starts."""
+    spark.sparkContext.setJobGroup("counted", "counted")
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_long_chain_of_registrations(spark):
+    none = spark.createDataFrame([], "username string, email string")
+
+    def chain(n):
+        rows = [(i, f"n{(i + 1) // 2}", f"m{i // 2}", "student") for i in range(n)]
+        return spark.createDataFrame(rows, "request_id long, username string, email string, role string")
+
+    found = {}
+    short = jobs_of(spark, lambda: found.update(a=mt.register_users(chain(20), none).collect()))
+    long = jobs_of(spark, lambda: found.update(b=mt.register_users(chain(1000), none).collect()))
+    for key, n in (("a", 20), ("b", 1000)):
+        assert sorted(r.request_id for r in found[key]) == list(range(0, n, 2))
+    assert long <= 6 * short
+
+
+def test_components_of_paths_and_cycles(spark):
+    edges = [(f"p{i}", f"p{i + 1}") for i in range(300)] + [(f"c{i}", f"c{(i + 1) % 50}") for i in range(50)] + [("x", "x")]
+    got = components(spark.createDataFrame(edges, "a string, b string")).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.component, set()).add(r.node)
+    assert sorted(len(g) for g in groups.values()) == [1, 50, 301] and len(got) == 352
+
+
 def test_relationships_equal_all_pairs(spark):
     rng = random.Random(3)
     vocabulary = [f"word{i}" for i in range(60)]
