@@ -9,17 +9,12 @@ from pyspark.sql import functions as F
 
 from pagelore.functions import fixed_values as fv
 from pagelore.functions import text as tx
-from pagelore.session import ensure_checkpoint_dir
+from pagelore.session import ensure_checkpoint_dir, once
 
 #: Documents are alike above this share, the overlap of the smaller set weighed by the other.
 LEAST_SIMILARITY, OVERLAP_WEIGHT = 0.03, 0.7
 
 
-def once(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
-    """``keep`` and a dear ``value``, which later filters read but never evaluate again (no filter passes a generator)."""
-    return df.select(*keep, F.inline(F.array(F.struct(value.alias(name)))))
-
-
 # --- words -------------------------------------------------------------------
 def long_words(c: Column) -> Column:
     return F.filter(tx.word_runs(F.lower(c)), lambda w: w.rlike(r"^[a-z]{4,}\z"))

@@ -13,12 +13,18 @@ from pagelore.functions import text as tx
 from pagelore.operators.components import components, pair_key
 from pagelore.operators.running import number_rows
 from pagelore.session import ensure_checkpoint_dir
+from pagelore.sources import files
 
 
 # --- deletes -------------------------------------------------------------------
-def delete_document_cascade(doomed: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Tables after removing documents: dependants go with them, tasks lose the link."""
+def delete_document_cascade(doomed: DataFrame, tables: dict[str, DataFrame], stores: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """Tables after removing documents: dependants go with them, tasks lose the link.
+
+    ``stores`` are folders of chunk or vector batches with the id of the batch that takes the tombstones.
+    """
     ids = doomed.select("document_id").distinct()
+    for folder, batch_id in (stores or {}).items():
+        files.delete_documents(doomed.sparkSession, folder, batch_id, ids)
     out = {}
     for name, df in tables.items():
         if name == "documents":
@@ -32,11 +38,11 @@ def delete_document_cascade(doomed: DataFrame, tables: dict[str, DataFrame]) ->
     return out
 
 
-def delete_user_cascade(doomed: DataFrame, users: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Remove users, their documents and everything that hangs on those documents."""
+def delete_user_cascade(doomed: DataFrame, users: DataFrame, tables: dict[str, DataFrame], stores: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """Remove users, their documents and everything that hangs on those documents, stored chunks and vectors too."""
     ids = doomed.select("user_id").distinct()
     theirs = tables["documents"].join(ids.withColumnRenamed("user_id", "owner_id"), "owner_id", "left_semi")
-    out = delete_document_cascade(theirs.select(F.col("id").alias("document_id")), tables)
+    out = delete_document_cascade(theirs.select(F.col("id").alias("document_id")), tables, stores)
     out["users"] = users.join(ids.withColumnRenamed("user_id", "id"), "id", "left_anti")
     return out
 

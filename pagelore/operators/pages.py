@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from pagelore.functions import fixed_values as fv
 from pagelore.functions import text as tx
+from pagelore.operators.running import segment_offsets
+from pagelore.session import once
 
 PAGE = ["document_id", "page_number"]
 BLOCK_END = r"(?i)</(?:p|div|h[1-6]|li|tr|article|section|title|ul|ol|nav|table)>|<br */?>"
@@ -216,14 +218,24 @@ def merge_columns(joined: DataFrame) -> DataFrame:
     return joined.select(*PAGE, F.concat_ws("\n\n", body, boxed).alias("merged_text"), kinds.alias("source_types"))
 
 
-def full_text(merged: DataFrame) -> DataFrame:
+#: Characters of a part of a document, the page that crosses the bound included, and pages that are summed in one task.
+PART_CHARS, SEGMENT_PAGES = 1 << 20, 1000
+
+
+def numbered_parts(pages: DataFrame, size: Column, part_chars: int) -> DataFrame:
+    """``part`` for each page: how often ``part_chars`` went into the pages before it.  A long document is many segments and parts."""
+    sized = pages.withColumns({"_size": size, "_segment": F.floor((F.col("page_number") - 1) / SEGMENT_PAGES)})
+    return segment_offsets(sized, ["document_id"], "_segment", "page_number", "_size", "_before").withColumn(
+        "part", F.floor(F.col("_before") / part_chars).cast("long")).drop("_size", "_before")
+
+
+def full_text(merged: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """The marked pages of a document that are not blank, in numbered parts; parts joined by a blank line are the whole text."""
     block = F.concat(F.lit("[Page "), F.col("page_number").cast("string"), F.lit("]\n"), F.col("merged_text"))
-    # blank pages are skipped by the aggregate: a filter here would be pushed below the
-    # projection and evaluate the whole cleaning chain a second time
-    page = F.when(~tx.is_blank(F.col("merged_text")), F.struct("page_number", block.alias("b")))
-    return merged.groupBy("document_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(page)), lambda x: x["b"]), "\n\n").alias("full_text")
-    )
+    pages = once(merged, "block", F.when(~tx.is_blank(F.col("merged_text")), block), *PAGE).filter(F.col("block").isNotNull())
+    parted = numbered_parts(pages, F.length("block").cast("long"), part_chars)
+    return parted.groupBy("document_id", "part").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "block"))), lambda x: x["block"]), "\n\n").alias("full_text"))
 
 
 def document_status(documents: DataFrame, merged: DataFrame, errors: DataFrame) -> DataFrame:
@@ -243,8 +255,9 @@ def document_status(documents: DataFrame, merged: DataFrame, errors: DataFrame)
 
 
 def single_page_text(requests: DataFrame, pages: DataFrame, text: str = "raw_text") -> DataFrame:
-    found = pages.select(*PAGE, tx.clean_text(F.col(text)).alias("text"))
-    return requests.join(found, PAGE, "left").select(*requests.columns, "text")
+    """Cleaned text of the pages asked for; only those are cleaned."""
+    found = requests.join(pages.select(*PAGE, F.col(text).alias("_raw")), PAGE, "left")
+    return found.select(*requests.columns, F.when(F.col("_raw").isNotNull(), tx.clean_text(F.col("_raw"))).alias("text"))
 
 
 def page_count(documents: DataFrame, pages: DataFrame) -> DataFrame:

@@ -139,8 +139,11 @@ FROM pages_v p LEFT JOIN ocr_primary a USING (document_id, page_number) LEFT JOI
     "clean_tables": C.sql(f"SELECT document_id, page_number, table_index, {TABLE_COLUMNS} FROM ({cleaned('sheet_tables')})", "sheet_tables"),
     "tables_by_page": C.sql("SELECT document_id, page_number, table_text FROM page_tables", "page_tables"),
     "merge_pages": C.sql("SELECT * FROM merged_all", "merged_all"),
-    "full_text": C.sql(f"SELECT document_id, string_agg('[Page ' || page_number || ']' || chr(10) || merged_text, chr(10) || chr(10) ORDER BY page_number) AS full_text "
-                       f"FROM merged_all WHERE {dk.strip('merged_text')} <> '' GROUP BY 1", "merged_all"),
+    "full_text": C.sql(f"""
+SELECT document_id, part, string_agg(block, chr(10) || chr(10) ORDER BY page_number) AS full_text FROM (
+  SELECT *, (coalesce(sum(length(block)) OVER (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 2000)::BIGINT AS part
+  FROM (SELECT document_id, page_number, '[Page ' || page_number || ']' || chr(10) || merged_text AS block FROM merged_all WHERE {dk.strip('merged_text')} <> ''))
+GROUP BY 1, 2""", "merged_all"),
     "document_status": C.sql("""
 SELECT d.id AS document_id, coalesce(count(m.page_number), 0) AS page_count, CAST(coalesce(sum(length(m.merged_text)), 0) AS BIGINT) AS total_chars,
        CASE WHEN d.status = 'failed' THEN 'failed' ELSE 'processed' END AS status,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pagelore import schemas
 from pagelore.functions import fixed_values as fv
 from pagelore.operators.maintenance import HTML_STYLE, ISO_SHAPE
 from pagelore.oracles import duck as dk
@@ -33,13 +34,40 @@ C.add("progress_latest", "SELECT * FROM progress_v QUALIFY row_number() OVER (PA
 _TABLES = {
     "document_chunks": "chunks_v", "document_tags": "tags_v", "faqs": "faqs_v", "reading_progress": "progress_latest", "annotations": "annotations_v",
 }
-_NEEDS = ("docs_v", "users_v", "tasks_v", *_TABLES.values())
+_NEEDS = ("docs_v", "users_v", "tasks_v", "chunk_vectors_v", *_TABLES.values())
+
+
+def checksum(text: str) -> str:
+    return f"coalesce(sum(('0x' || substring(md5({text}), 1, 8))::BIGINT), 0)::BIGINT"
+
+
+def row_sum(*columns: str) -> str:
+    return checksum(f"concat_ws('|', {', '.join(columns)})")
+
+
+_VALUES = {
+    "document_chunks": ("chunk_id", "document_id", "content"), "document_tags": ("document_id", "tag"), "faqs": ("document_id", "question", "answer"),
+    "reading_progress": ("user_id", "document_id", "last_page"), "annotations": ("id", "document_id", "content"),
+    "stored_chunks": ("chunk_id", "document_id", "content"), "stored_vectors": ("chunk_id", "document_id", "content", "embedding"),
+}
 
 
 def after_delete(doomed: str) -> str:
-    parts = [f"SELECT 'documents' AS table_name, count(*) AS n_rows, count(*) AS n_linked FROM docs_v WHERE id NOT IN ({doomed})"]
-    parts += [f"SELECT '{n}', count(*), count(*) FROM {v} WHERE document_id NOT IN ({doomed})" for n, v in _TABLES.items()]
-    parts.append(f"SELECT 'study_tasks', count(*), count(*) FILTER (document_id NOT IN ({doomed})) FROM tasks_v")
+    parts = [f"SELECT 'documents' AS table_name, count(*) AS n_rows, count(*) AS n_linked, {row_sum('id', 'owner_id', 'status')} AS checksum FROM docs_v WHERE id NOT IN ({doomed})"]
+    views = _TABLES | {"stored_chunks": "chunks_v", "stored_vectors": f"(SELECT {_VEC_COLUMNS} FROM chunk_vectors_v)"}
+    parts += [f"SELECT '{n}', count(*), count(*), {row_sum(*_VALUES[n])} FROM {v} WHERE document_id NOT IN ({doomed})" for n, v in views.items()]
+    kept = f"CASE WHEN document_id NOT IN ({doomed}) THEN document_id END"
+    parts.append(f"SELECT 'study_tasks', count(*), count(kept), {row_sum('id', 'kept', 'priority')} FROM (SELECT *, {kept} AS kept FROM tasks_v)")
+    return " UNION ALL ".join(parts)
+
+
+def column_sums(name: str, view: str, lacking: tuple[str, ...]) -> str:
+    """Values and checksum of every column of a table; those that the test data lack are empty."""
+    parts = []
+    for c, kind in schemas.fields(name):
+        text = {"double": f"round({c} * 1000000)::BIGINT::VARCHAR", "timestamp_ntz": f"strftime({c}, '%Y-%m-%d %H:%M:%S')"}.get(kind, f"{c}::VARCHAR")
+        sums = "0, 0" if c in lacking or "<" in kind else f"count({c}), {checksum(text)}"
+        parts.append(f"SELECT '{name}' AS table_name, count(*) AS n_rows, '{c}' AS column_name, {sums.replace(', ', ' AS n_values, ', 1)} AS checksum FROM {view}")
     return " UNION ALL ".join(parts)
 
 
@@ -91,6 +119,18 @@ def export(head: str, part: str, tail: str = "") -> str:
 
 _VEC_COLUMNS = "chunk_id, document_id, page_number, chunk_index, source_type, content, char_count, " + (
     "array_to_string(" + dk.tmap("embedding", lambda x: f"CAST(round({x}::DOUBLE, 4) AS VARCHAR)") + ", ',') AS embedding")
+C.add("docs_hashed", "SELECT v.* EXCLUDE (text), sha256(d.text) AS file_hash FROM docs_v v JOIN documents d ON d.doc_id = v.id", "docs_v")
+#: View of each table, and the columns that no test table gives.
+_SCANNED = {
+    "users": ("users_v", ("hashed_password",)),
+    "documents": ("docs_hashed", ("filename", "file_path", "page_count", "version", "error_message", "updated_at")),
+    "document_chunks": ("chunks_v", ("id", "embedding_id", "created_at")), "chat_sessions": ("sessions_v", ()),
+    "chat_messages": ("messages_v", ("ai_summary", "reasoning")), "feedbacks": ("feedback_v", ("message_id",)), "bookmarks": ("bookmarks_v", ("note",)),
+    "document_tags": ("tags_v", ("id", "created_at")), "faqs": ("faqs_v", ()), "reading_progress": ("progress_latest", ("id", "notes")),
+    "user_preferences": ("prefs_v", ("id", "updated_at")), "annotations": ("annotations_v", ()),
+    "study_tasks": ("tasks_v", ("title", "description", "updated_at")),
+}
+
 SQL = {
     "validate_uploads": C.sql("SELECT upload_id, original_name, reject_reason FROM checked_v", "checked_v"),
     "safe_filename": f"SELECT page_id AS document_id, {safe('url')} AS name FROM pages",
@@ -103,13 +143,7 @@ SELECT (SELECT max(id) FROM docs_v) + row_number() OVER (ORDER BY upload_id) AS
 SELECT document_id, original_name AS filename, 1::BIGINT AS version, page_number, CASE WHEN {dk.strip('d.text')} <> '' THEN d.text ELSE '' END AS merged_text,
        CASE WHEN {dk.strip('d.text')} <> '' THEN 'text' ELSE '' END AS source_types FROM digital_v d JOIN docs_v ON id = document_id""", "digital_v", "docs_v"),
     "read_processed": C.sql(f"SELECT document_id, count(*) AS n_pages, sum(CASE WHEN {dk.strip('text')} <> '' THEN length(text) ELSE 0 END)::BIGINT AS n_chars FROM digital_v GROUP BY 1", "digital_v"),
-    "read_tables": C.sql("""
-SELECT 'users' AS table_name, count(*) AS n_rows FROM users_v UNION ALL SELECT 'documents', count(*) FROM docs_v UNION ALL SELECT 'document_chunks', count(*) FROM chunks_v
-UNION ALL SELECT 'chat_sessions', count(*) FROM sessions_v UNION ALL SELECT 'chat_messages', count(*) FROM messages_v UNION ALL SELECT 'feedbacks', count(*) FROM feedback_v
-UNION ALL SELECT 'bookmarks', count(*) FROM bookmarks_v UNION ALL SELECT 'document_tags', count(*) FROM tags_v UNION ALL SELECT 'faqs', count(*) FROM faqs_v
-UNION ALL SELECT 'reading_progress', count(*) FROM progress_latest UNION ALL SELECT 'user_preferences', count(*) FROM prefs_v
-UNION ALL SELECT 'annotations', count(*) FROM annotations_v UNION ALL SELECT 'study_tasks', count(*) FROM tasks_v""",
-                         "users_v", "docs_v", "chunks_v", "sessions_v", "messages_v", "feedback_v", "bookmarks_v", "tags_v", "faqs_v", "progress_latest", "prefs_v", "annotations_v", "tasks_v"),
+    "read_tables": C.sql(" UNION ALL ".join(column_sums(n, *t) for n, t in _SCANNED.items()), "docs_hashed", *[v for v, _ in _SCANNED.values() if v != "docs_hashed"]),
     "read_vectors": """
 SELECT vec_id AS chunk_id, label::BIGINT AS document_id,
   array_to_string(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ',') AS millionths FROM embeddings""",
@@ -117,7 +151,7 @@ SELECT vec_id AS chunk_id, label::BIGINT AS document_id,
     "write_vectors": C.sql(f"SELECT {_VEC_COLUMNS} FROM chunk_vectors_v", "chunk_vectors_v"),
     "delete_document_cascade": C.sql(after_delete("SELECT id FROM docs_v WHERE status = 'failed'"), *_NEEDS),
     "delete_user_cascade": C.sql(after_delete("SELECT d.id FROM docs_v d JOIN users_v u ON u.id = d.owner_id WHERE NOT u.is_active")
-                                 + " UNION ALL SELECT 'users', count(*), count(*) FROM users_v WHERE is_active", *_NEEDS),
+                                 + " UNION ALL SELECT 'users', count(*), count(*), " + row_sum("id", "username") + " FROM users_v WHERE is_active", *_NEEDS),
     "delete_session_cascade": C.sql("""
 SELECT s.id, s.user_id, count(*) AS n_messages FROM sessions_v s JOIN messages_v m ON m.session_id = s.id WHERE NOT (s.id % 2 = 0 AND s.id % 3 <> 0) GROUP BY 1, 2""", "sessions_v", "messages_v"),
     "upsert_tags": C.sql("""

@@ -10,6 +10,10 @@ from pagelore.operators import pages as pg
 from pagelore.plans import fixtures as fx
 
 
+#: Small enough that documents of the test tables have several parts.
+PART_CHARS = 2000
+
+
 def joined(c: str) -> Column:
     return F.array_join(c, " ~ ")
 
@@ -102,7 +106,7 @@ QUERIES = {
     "clean_tables": lambda s, d: table_out(pg.clean_tables(pg.tables_from_text(fx.order_sheets(s, d))), "table_index"),
     "tables_by_page": page_tables,
     "merge_pages": q_merge_pages,
-    "full_text": lambda s, d: pg.full_text(merged(s, d)),
+    "full_text": lambda s, d: pg.full_text(merged(s, d), PART_CHARS),
     "document_status": lambda s, d: pg.document_status(fx.documents(s, d), merged(s, d), status_errors(s, d)),
     "single_page_text": lambda s, d: pg.single_page_text(page_requests(s, d), fx.pages(s, d)),
     "page_count": fx.page_counts,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelore import schemas
@@ -57,23 +57,63 @@ def tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     }
 
 
+#: What tells the rows of a table apart after a delete.
+VALUES = {
+    "documents": ["id", "owner_id", "status"], "document_chunks": ["chunk_id", "document_id", "content"], "document_tags": ["document_id", "tag"],
+    "faqs": ["document_id", "question", "answer"], "reading_progress": ["user_id", "document_id", "last_page"],
+    "annotations": ["id", "document_id", "content"], "study_tasks": ["id", "document_id", "priority"], "users": ["id", "username"],
+    "stored_chunks": ["chunk_id", "document_id", "content"], "stored_vectors": ["chunk_id", "document_id", "content", "embedding"],
+}
+
+
+def checksum(text: Column) -> Column:
+    """Sum of hashes of the rows' texts: equal for equal rows in any order."""
+    return F.coalesce(F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")), F.lit(0))
+
+
 def counted(after: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in after.items():
         linked = F.count("document_id") if "document_id" in df.columns else F.count(F.lit(1))
-        row = df.agg(F.count(F.lit(1)).alias("n_rows"), linked.alias("n_linked")).select(F.lit(name).alias("table_name"), "n_rows", "n_linked")
+        values = checksum(F.concat_ws("|", *[F.col(c).cast("string") for c in VALUES[name]]))
+        row = df.agg(F.count(F.lit(1)).alias("n_rows"), linked.alias("n_linked"), values.alias("checksum")).select(
+            F.lit(name).alias("table_name"), "n_rows", "n_linked", "checksum")
         out = row if out is None else out.unionByName(row)
     return out
 
 
+def vector_text(c: str) -> Column:
+    return F.array_join(F.transform(c, lambda x: F.round(x.cast("double"), 4).cast("string")), ",")
+
+
+def stores(spark: SparkSession, d: str) -> tuple[str, str]:
+    """All chunks and vectors as stores of two batches."""
+    chunks, vectors = scratch(spark, "chunks"), scratch(spark, "vectors")
+    for batch_id, odd in ((0, 1), (1, 0)):
+        files.write_chunks(sh.chunks(spark, d).filter(F.col("document_id") % 2 == odd), chunks, batch_id)
+        files.write_vectors(sh.chunk_vectors(spark, d).filter(F.col("document_id") % 2 == odd), vectors, batch_id)
+    return chunks, vectors
+
+
+def read_back(spark: SparkSession, chunks: str, vectors: str) -> dict[str, DataFrame]:
+    return {"stored_chunks": files.read_chunks(spark, chunks), "stored_vectors": files.read_vectors(spark, vectors).withColumn("embedding", vector_text("embedding"))}
+
+
 def q_delete_documents(spark: SparkSession, d: str) -> DataFrame:
     doomed = fx.documents(spark, d).filter("status = 'failed'").select(F.col("id").alias("document_id"))
-    return counted(mt.delete_document_cascade(doomed, tables(spark, d)))
+    chunks, vectors = stores(spark, d)
+    after = mt.delete_document_cascade(doomed, tables(spark, d), {chunks: 2, vectors: 2})
+    return counted(after | read_back(spark, chunks, vectors))
 
 
 def q_delete_users(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the documents of inactive users; the stores are compacted before they are read."""
     doomed = fx.users(spark, d).filter("NOT is_active").select(F.col("id").alias("user_id"))
-    return counted(mt.delete_user_cascade(doomed, fx.users(spark, d), tables(spark, d)))
+    chunks, vectors = stores(spark, d)
+    after = mt.delete_user_cascade(doomed, fx.users(spark, d), tables(spark, d), {chunks: 2, vectors: 2})
+    for folder in (chunks, vectors):
+        files.compact(spark, folder, f"{folder}-compact")
+    return counted(after | read_back(spark, f"{chunks}-compact", f"{vectors}-compact"))
 
 
 def q_delete_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +208,7 @@ def q_export_json(spark: SparkSession, d: str) -> DataFrame:
 
 def q_processed(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "processed")
-    files.write_processed(pages_plan.merged_digital(spark, d), fx.documents(spark, d), folder, EXPORTED_AT)
+    files.write_processed(pages_plan.merged_digital(spark, d), fx.documents(spark, d), folder, EXPORTED_AT, part_chars=2000)
     return files.read_processed(spark, folder).select(
         "document_id", "filename", F.col("version").cast("long").alias("version"), "page_number", "merged_text", F.array_join("source_types", ",").alias("source_types"))
 
@@ -190,8 +230,7 @@ def q_write_vectors(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "vectors")
     in_batches(sh.chunk_vectors(spark, d), folder, files.write_vectors)
     v = files.read_vectors(spark, folder)
-    values = F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("string")), ",")
-    return v.select("chunk_id", "document_id", "page_number", "chunk_index", "source_type", "content", "char_count", values.alias("embedding"))
+    return v.select("chunk_id", "document_id", "page_number", "chunk_index", "source_type", "content", "char_count", vector_text("embedding").alias("embedding"))
 
 
 def q_read_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -207,8 +246,18 @@ def q_read_vectors(spark: SparkSession, d: str) -> DataFrame:
     return files.read_vectors(spark, folder).select(F.col("chunk_id").cast("long").alias("chunk_id"), "document_id", values.alias("millionths"))
 
 
+def value_text(field) -> Column:
+    """A value as text that other engines write alike."""
+    kind, c = field.dataType.simpleString(), F.col(field.name)
+    if kind == "double":
+        return F.round(c * 1_000_000).cast("bigint").cast("string")
+    if kind == "timestamp_ntz":
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return F.to_json(c) if kind.startswith(("array", "map", "struct")) else c.cast("string")
+
+
 def q_read_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Write all thirteen tables, scan them back with their fixed schemas and count."""
+    """Write all thirteen tables, scan them back with their fixed schemas: values and checksum of every column."""
     folder = scratch(spark, "tables")
     found = tables(spark, d)
     found.update({"users": fx.users(spark, d), "chat_sessions": fx.sessions(spark, d), "chat_messages": fx.messages(spark, d),
@@ -217,7 +266,9 @@ def q_read_tables(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for name in schemas.COLUMNS:
         files.write_table(found[name], folder, name)
-        row = files.read_table(spark, folder, name).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        back = files.read_table(spark, folder, name)
+        sums = [F.struct(F.lit(f.name).alias("column_name"), F.count(f.name).alias("n_values"), checksum(value_text(f)).alias("checksum")) for f in back.schema.fields]
+        row = back.agg(F.array(*sums).alias("c"), F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows", F.inline("c"))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -29,10 +29,15 @@ COLUMNS = {
 }
 CHUNK_VECTORS = ("chunk_id string, document_id bigint, page_number bigint, chunk_index bigint, source_type string, content string, "
                  "char_count bigint, embedding array<float>")
-PROCESSED = ("document_id bigint, filename string, page_count bigint, version int, metadata map<string,string>, "
+PROCESSED = ("document_id bigint, part bigint, filename string, page_count bigint, version int, metadata map<string,string>, "
              "pages array<struct<page_number:bigint,merged_text:string,source_types:array<string>>>, processed_at string")
 
 
+def fields(name: str) -> list[tuple[str, str]]:
+    """(column, type) of a table, without a session."""
+    return [tuple(c.split(" ", 1)) for c in COLUMNS[name].split(", ")]
+
+
 def schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(COLUMNS[name])
 

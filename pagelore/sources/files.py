@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelore import schemas
+from pagelore.operators import pages as pg
 
 
 # --- uploads -------------------------------------------------------------------
@@ -44,19 +45,29 @@ def write_table(df: DataFrame, folder: str, name: str) -> None:
 
 
 # --- processed pages ---------------------------------------------------------------
-def write_processed(merged: DataFrame, documents: DataFrame, folder: str, processed_at: str, version: int = 1) -> None:
-    """One JSON object per document, partitioned by version."""
+def write_processed(merged: DataFrame, documents: DataFrame, folder: str, processed_at: str, version: int = 1,
+                    part_chars: int = pg.PART_CHARS) -> None:
+    """JSON lines partitioned by version: a document is one object, or, if it is long, several with numbered parts of its pages.
+
+    The objects are written in order of document and part.  A part has ``part_chars`` characters and a page at most.
+    """
     page = F.struct("page_number", "merged_text", "source_types")
-    grouped = merged.groupBy("document_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    parted = pg.numbered_parts(merged.select("document_id", *page_columns()), F.length("merged_text").cast("long"), part_chars)
+    parts = parted.groupBy("document_id", "part").agg(F.array_sort(F.collect_list(page)).alias("pages"), F.count(F.lit(1)).alias("n"))
+    totals = parts.groupBy("document_id").agg(F.sum("n").alias("page_count"))
     names = documents.select(F.col("id").alias("document_id"), F.col("original_name").alias("filename"))
-    grouped.join(names, "document_id").select(
-        "document_id", "filename", F.size("pages").cast("bigint").alias("page_count"), F.lit(version).alias("version"),
+    parts.join(totals.join(names, "document_id"), "document_id").select(
+        "document_id", "part", "filename", "page_count", F.lit(version).alias("version"),
         F.create_map(F.lit("title"), F.col("filename")).alias("metadata"), "pages", F.lit(processed_at).alias("processed_at"),
-    ).write.mode("overwrite").partitionBy("version").json(folder)
+    ).repartitionByRange("document_id", "part").sortWithinPartitions("document_id", "part").write.mode("overwrite").partitionBy("version").json(folder)
+
+
+def page_columns() -> tuple[str, ...]:
+    return ("page_number", "merged_text", "source_types")
 
 
 def read_processed(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages of the stored JSON objects."""
+    """Pages of the stored JSON objects, whatever part they are in."""
     stored = spark.read.schema(schemas.PROCESSED).json(folder)
     return stored.select("document_id", "filename", "version", F.explode("pages").alias("p")).select(
         "document_id", "filename", "version", "p.page_number", "p.merged_text", "p.source_types")
@@ -83,6 +94,12 @@ def read_newest(spark: SparkSession, folder: str) -> DataFrame:
     return stored.join(newest, ["document_id", "batch_id"], "left_semi").filter(~F.col("_covered")).drop("batch_id", "_covered")
 
 
+def delete_documents(spark: SparkSession, folder: str, batch_id: int, documents: DataFrame) -> None:
+    """Tombstones: a batch that covers ``documents`` (``document_id``) and has no rows of them; ``compact`` drops both."""
+    layout = spark.read.parquet(folder).drop("batch_id", "_covered").schema
+    write_batch(spark.createDataFrame([], layout), folder, batch_id, documents)
+
+
 def compact(spark: SparkSession, folder: str, target: str) -> None:
     """The newest rows as the first batch of a new store, for when superseded rows weigh too much."""
     write_batch(read_newest(spark, folder), target, 0)

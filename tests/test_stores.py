@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from pagelore.operators import pages as pg
 from pagelore.sources import files
 from pagelore.streaming import jobs
 
@@ -28,17 +31,32 @@ def test_a_document_without_rows_is_emptied(spark, tmp_path):
     assert rows(files.read_chunks(spark, str(tmp_path / "compact"))) == [("1-0", 1, "a")]
 
 
-def test_activity_stream_counts_over_micro_batches(spark, tmp_path):
-    events = spark.range(0, 4000).selectExpr("timestamp_seconds(1704067200 + id * 600) AS at", "concat('t', id % 3) AS event_type")
-    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
-    events.repartitionByRange(5, "at").sortWithinPartitions("at").write.parquet(source)
-    stream = jobs.file_stream(spark, source, "*.parquet", events.schema, 1)
-    jobs.run_available(jobs.recent_activity(stream), jobs.batch_writer(folder), str(tmp_path / "progress"), "update")
-    got = jobs.newest_rows(spark, folder, "window_start", "window_end", "event_type")
-    want = jobs.activity_windows(events, "at")
-    columns = ["window_start", "window_end", "event_type", "n"]
-    assert spark.read.parquet(folder).select("batch_id").distinct().count() > 1
-    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+def test_tombstones_hide_until_a_store_is_compacted(spark, tmp_path):
+    folder = str(tmp_path / "chunks")
+    files.write_chunks(spark.createDataFrame([(f"{d}-{i}", d, "a") for d in range(6) for i in range(2)], CHUNKS), folder, 0)
+    files.delete_documents(spark, folder, 1, spark.createDataFrame([(2,), (2,), (5,), (99,)], "document_id long"))
+    left = sorted((f"{d}-{i}", d, "a") for d in (0, 1, 3, 4) for i in range(2))
+    assert rows(files.read_chunks(spark, folder)) == left
+    files.write_chunks(spark.createDataFrame([("5-0", 5, "back")], CHUNKS), folder, 2)
+    assert rows(files.read_chunks(spark, folder)) == [*left, ("5-0", 5, "back")]
+    files.compact(spark, folder, str(tmp_path / "compact"))
+    assert spark.read.parquet(str(tmp_path / "compact")).count() == 9
+
+
+def test_a_long_document_is_several_objects(spark, tmp_path):
+    merged = spark.createDataFrame([(d, n, f"page {n} " + "x" * 40, ["text"]) for d, pages in ((1, 2500), (2, 1)) for n in range(1, pages + 1)],
+                                   "document_id long, page_number long, merged_text string, source_types array<string>")
+    names = spark.createDataFrame([(1, "a"), (2, "b")], "id long, original_name string")
+    files.write_processed(merged, names, str(tmp_path), "now", part_chars=10_000)
+    objects = spark.read.json(str(tmp_path))
+    most = objects.select("document_id", "page_count", F.size("pages").alias("n")).collect()
+    assert {(r.document_id, r.page_count) for r in most} == {(1, 2500), (2, 1)}
+    assert len(most) > 10 and max(r.n for r in most) < 300
+    back = files.read_processed(spark, str(tmp_path)).select("document_id", "page_number", "merged_text", "source_types")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, merged.collect()))
+    parts = pg.full_text(merged, 10_000).orderBy("document_id", "part").collect()
+    whole = "\n\n".join(f"[Page {n}]\npage {n} " + "x" * 40 for n in range(1, 2501))
+    assert "\n\n".join(r.full_text for r in parts if r.document_id == 1) == whole and max(len(r.full_text) for r in parts) < 11_000
 
 
 def test_newest_batch_is_the_whole_result(spark, tmp_path):
