@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagelore.session import ship_package, tune
 
-FAMILIES = ("pages", "text", "retrieval", "answers", "analytics", "tables", "streams")
+FAMILIES = ("pages", "text", "retrieval", "answers", "analytics", "tables", "requests", "streams")
 
 
 def _pinned(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
