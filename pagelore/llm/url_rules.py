@@ -11,7 +11,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import own, replace, table
+from pagelore.llm.common import cut, own, replace, table
 
 #: Listed rules (host and path prefix) and their verdicts.
 LISTED = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -60,18 +60,41 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 
     A rule stands under its rarest token.  No labelled row gives no rule.
     """
+    need = max(min_support * labelled.count(), min_rows)
+    return _combinations(labelled, need, min_confidence, labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
+
+
+def _combinations(labelled: DataFrame, need: float, min_confidence: float, counts: DataFrame) -> DataFrame:
+    """Rules that rest on ``need`` blocked rows, by FP-growth over the tokens of the rows."""
     baskets = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
     # half a row less: the miner rounds up
-    min_support = min(1.0, max(min_support, (min_rows - 0.5) / max(labelled.count(), 1)))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    support = min(1.0, (need - 0.5) / max(labelled.count(), 1))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter(F.col("consequent")[0] == BLOCK).select("antecedent")
-    single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     return (
-        rules.select("antecedent", F.explode("antecedent").alias("token")).join(single, "token")
+        rules.select("antecedent", F.explode("antecedent").alias("token")).join(counts.select("token", "freq"), "token")
         .groupBy("antecedent").agg(F.min_by("token", F.struct("freq", "token")).alias("token"))
     )
 
 
+def mine_minimal(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS) -> DataFrame:
+    """The rules of ``mine`` that match the same urls, without those that hold a token which is a rule by itself.
+
+    A set that holds a rule matches no url more.  So such tokens never reach the miner, and neither do tokens with too
+    few blocked rows: a long url that repeats is not listed in all its subsets.  What is mined are combinations of
+    tokens that occur often on both sides.
+    """
+    rows = labelled.select("tokens", F.coalesce("blocked", F.lit(False)).alias("blocked"))
+    need = max(min_support * rows.count(), min_rows)
+    counts = rows.select("blocked", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.count_if("blocked").alias("hits"))
+    frequent = cut(counts.filter(F.col("hits") >= need))  # at most the tokens of a url over the support
+    alone = F.col("hits") / F.col("freq") >= min_confidence
+    single = frequent.filter(alone).select(F.array("token").alias("antecedent"), "token")
+    open_tokens = frequent.filter(~alone).agg(F.collect_list("token")).scalar()
+    baskets = cut(rows.select(F.array_intersect("tokens", open_tokens).alias("tokens"), "blocked").filter(F.size("tokens") > 1))
+    return single if baskets.isEmpty() else single.unionByName(_combinations(baskets, need, min_confidence, frequent))
+
+
 def judge_urls(pages: DataFrame, listed=LISTED, labelled: DataFrame | None = None, min_support: float = MIN_SUPPORT,
                min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """All rows and columns of ``pages`` with ``host``, ``path``, ``rule`` and ``verdict``.
@@ -88,7 +111,7 @@ def judge_urls(pages: DataFrame, listed=LISTED, labelled: DataFrame | None = Non
     base = base.withColumns({"_rule": rule, "_listed": verdict})
     if labelled is None:
         labelled = base.filter("_listed is not null").select(F.col("_host").alias("host"), F.col("_path").alias("path"), (F.col("_listed") == "block").alias("blocked"))
-    index = mine(labelled.select(tokens(F.col("host"), F.col("path")).alias("tokens"), "blocked"), min_support, min_confidence)
+    index = mine_minimal(labelled.select(tokens(F.col("host"), F.col("path")).alias("tokens"), "blocked"), min_support, min_confidence)
 
     # each distinct url that the list leaves open meets the index once
     asked = base.filter("_listed is null").select("_host", "_path").distinct().withColumn("tokens", tokens(F.col("_host"), F.col("_path")))

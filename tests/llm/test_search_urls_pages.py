@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from itertools import combinations
 
 import numpy as np
@@ -68,6 +69,31 @@ def test_mined_rules_are_all_frequent_confident_sets(spark):
     assert got == want
 
 
+def test_minimal_rules_match_the_same_urls(spark):
+    rng = random.Random(8)
+    words = ["ads", "spam", "casino", "news", "de", "shop", "x1"]
+    rows = [(sorted(rng.sample(words, rng.randint(1, 5))),) for _ in range(300)]
+    rows = [(t, {"ads", "casino"} <= set(t) or "spam" in t) for (t,) in rows]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    every = [set(r.antecedent) for r in url_rules.mine(labelled, 0.02, 0.9, 5).collect()]
+    least = [set(r.antecedent) for r in url_rules.mine_minimal(labelled, 0.02, 0.9, 5).collect()]
+    assert {"spam"} in least and {"ads", "casino"} in least and len(least) < len(every)
+    for n in range(1, 5):
+        for t in combinations(words, n):
+            assert any(r <= set(t) for r in every) == any(r <= set(t) for r in least)
+    assert url_rules.mine_minimal(labelled.limit(0)).count() == 0
+
+
+def test_long_repeated_urls_are_mined_in_time(spark):
+    long = "/".join(f"seg{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+    other = "/".join(f"oth{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+    urls = [f"x://a.example.org/es/{long}"] * 1000 + [f"x://b.org/{other}"] * 1000 + [f"x://c.net/{long}", f"x://c.net/{other}", "x://c.net/segab"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    judged = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(pages).collect()}
+    assert judged[0] == ("example.org/es/", "block") and judged[1500] == ("org/", "allow")
+    assert [judged[n] for n in (2000, 2001, 2002)] == [(None, "block"), (None, "allow"), (None, "block")]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t{i}</title><style>p{{}}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/x">x{i}</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div>{body}<aside>Side {i}</aside><div id="comments"><p>Reader {i} says</p></div><form><p>Search</p></form><footer>&copy; {i}</footer></body></html>"""
 
