@@ -38,10 +38,22 @@ def keep(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame])
 
 
 def release() -> None:
-    """Forget the stored relations (used between bench runs)."""
+    """Forget the stored relations and their catalog names (used between bench runs)."""
+    spark = SparkSession.getActiveSession()
+    for (_, _, name), path in _stored.items():
+        if spark is not None and name == BUCKETED:
+            spark.sql(f"DROP TABLE IF EXISTS {table_name(path)}")
     _stored.clear()
 
 
+#: The relation that is a bucketed table; its catalog name comes from its folder.
+BUCKETED = "chunk_vectors"
+
+
+def table_name(path: str) -> str:
+    return path.rsplit("/", 1)[1].replace("-", "_")
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     return keep(spark, d, "chunks", lambda: pages_plan.chunks(spark, d))
 
@@ -49,9 +61,9 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Chunks with their vectors in buckets of the document: joins on ``document_id`` move no vector."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = place(spark, d, "chunk_vectors", lambda path: rt.embed_texts(chunks(spark, d), "content").repartition(n, "document_id").write.option(
-        "path", path).bucketBy(n, "document_id").sortBy("document_id").saveAsTable(path.rsplit("/", 1)[1].replace("-", "_")))
-    return spark.table(table.rsplit("/", 1)[1].replace("-", "_"))
+    path = place(spark, d, BUCKETED, lambda path: rt.embed_texts(chunks(spark, d), "content").repartition(n, "document_id").write.option(
+        "path", path).bucketBy(n, "document_id").sortBy("document_id").saveAsTable(table_name(path)))
+    return spark.table(table_name(path))
 
 
 def vector_blocks(spark: SparkSession, d: str) -> str:
