@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pagelore.llm.common import cut
 
 MAX_ROUNDS = 60
-#: Members of a key's largest group that those outside it meet before they meet all.
+#: Members of a key's largest group, and as many of its others, that those outside it meet in a round.
 LEADERS = 8
+#: Most rounds of leaders, and the least even where they merge nothing.
+ROUNDS, LEAST_ROUNDS = 5, 2
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -41,9 +43,11 @@ def linked_groups(postings: DataFrame, nodes: DataFrame, passes: Callable[[Calla
     """Groups of the ids that share a key, pass the cheap test and are verified; ``id``, ``root`` as in ``components``.
 
     ``postings``: ``key``, ``id``; ``nodes``: one row per id with what the test reads and ``weight``.  Pairs are
-    never listed within a key.  First each member meets the key's most shared, weightiest member; a large
-    group of copies is joined by that alone, or by a few more leaders of the largest group so far.  Then only
-    members outside that group meet the others, so every candidate pair is verified or already in one group.
+    never listed within a key.  First each member meets the key's most shared, weightiest member.  Then, round by
+    round, members outside the key's largest group meet a few leaders of it and a few of their own, other ones each
+    round, so that several groups in one key grow by a few links a member and not by their pairs.  Rounds go on while
+    they merge groups, up to a few.  At last members outside the largest group meet all that are not in their own, so every
+    candidate pair is verified or already in one group.
     """
     # one exchange of the postings: the count of a key comes from a window over it
     members = cut(postings.select("key", "id", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n")).filter("n > 1"))
@@ -59,26 +63,35 @@ def linked_groups(postings: DataFrame, nodes: DataFrame, passes: Callable[[Calla
     tested = cut(led.filter(passes(lambda c: F.col(f"_a.{c}"), lambda c: F.col(f"_b.{c}"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     first = cut(verify(tested))
 
-    def outside(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members of the keys that hold more than one group, with the largest (``main``); those outside it."""
-        placed = cut(rows.join(components(links), "id", "left").withColumn("group", F.coalesce("root", "id")).select("key", "id", "group", "rank", *attributes))
+    def outside(some: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """Of ``some`` the members of keys that hold more than one group, with the largest (``main``); those outside it; the groups of these keys."""
+        placed = cut(some.select("key", "id", "rank", *attributes).join(components(links), "id", "left").withColumn("group", F.coalesce("root", "id")).select("key", "id", "group", "rank", *attributes))
         sizes = placed.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
-        open_ = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "group")).alias("top")).filter("groups > 1").select("key", F.col("top.group").alias("main"))
-        rest = cut(placed.join(open_, "key"))
-        return rest, rest.filter("group <> main")
+        open_ = cut(sizes.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "group")).alias("top")).filter("groups > 1").select("key", "groups", F.col("top.group").alias("main")))
+        rest = cut(placed.join(open_.drop("groups"), "key"))
+        return rest, rest.filter("group <> main"), open_.agg(F.sum("groups")).first()[0] or 0
 
     def meet(x: DataFrame, y: DataFrame, when: Column) -> DataFrame:
         x, y = x.alias("x"), y.alias("y")
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") != F.col("y.group")) & when & passes(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
         return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
-    rest, others = outside(first)
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("rank")))
-    few = rest.filter("group = main").withColumn("place", place).filter(F.col("place") <= LEADERS)
-    more = cut(meet(others, few, F.lit(True)).join(tested, ["a", "b"], "left_anti"))
-    second = cut(first.unionByName(verify(more)))
+    links = first
+    rest, others, groups = outside(rows, links)
+    for turn in range(ROUNDS):
+        if not groups:
+            break
+        shared = F.when((F.col("group") == F.col("main")) & F.lit(turn == 0), F.col("rank"))
+        place = F.row_number().over(Window.partitionBy("key", F.col("group") == F.col("main")).orderBy(shared.desc(), F.xxhash64("id", F.lit(turn)), "id"))
+        few = rest.withColumn("place", place).filter(F.col("place") <= LEADERS)
+        more = cut(meet(others, few, F.lit(True)).join(tested, ["a", "b"], "left_anti"))
+        before = groups
+        if not more.isEmpty():
+            links, tested = cut(links.unionByName(verify(more))), cut(tested.unionByName(more))
+            rest, others, groups = outside(rest, links)  # a key with one group stays so
+        if groups == before and turn + 1 >= LEAST_ROUNDS:
+            break
 
-    rest, others = outside(second)
     once = (F.col("y.group") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-    pairs = meet(others, rest, once).join(tested.unionByName(more), ["a", "b"], "left_anti")
-    return components(second.unionByName(verify(cut(pairs))))
+    pairs = cut(meet(others, rest, once).join(tested, ["a", "b"], "left_anti"))
+    return components(links if pairs.isEmpty() else links.unionByName(verify(pairs)))
