@@ -51,38 +51,39 @@ def linked_groups(postings: DataFrame, nodes: DataFrame, passes: Callable[[Calla
     """
     # one exchange of the postings: the count of a key comes from a window over it
     members = cut(postings.select("key", "id", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n")).filter("n > 1"))
-    popular = members.groupBy("id").agg(F.sum("n").alias("popularity")).join(nodes, "id")
-    rank = F.struct("weight", "popularity", "id")
+    popular = members.groupBy("id").agg(F.sum("n").alias("popularity")).join(nodes.select("id", "weight"), "id")
+    ranked = members.select("key", "id").join(popular.select("id", F.struct("weight", "popularity", "id").alias("rank")), "id")
     attributes = [c for c in nodes.columns if c != "id"]
-    rows = cut(members.select("key", "id").join(popular.withColumn("rank", rank), "id"))
 
-    leaders = rows.groupBy("key").agg(F.max("rank").alias("top")).select("key", F.col("top.id").alias("leader"))
-    led = rows.join(leaders, "key").filter("id <> leader").select("id", "leader").distinct()
+    leaders = ranked.groupBy("key").agg(F.max("rank").alias("top")).select("key", F.col("top.id").alias("leader"))
+    led = members.join(leaders, "key").filter("id <> leader").select("id", "leader").distinct()
     side = lambda name: nodes.select(F.col("id").alias(name), F.struct(*attributes).alias(f"_{name}"))
     led = led.select(F.col("id").alias("a"), F.col("leader").alias("b")).join(side("a"), "a").join(side("b"), "b")
     tested = cut(led.filter(passes(lambda c: F.col(f"_a.{c}"), lambda c: F.col(f"_b.{c}"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     first = cut(verify(tested))
 
     def outside(some: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-        """Of ``some`` the members of keys that hold more than one group, with the largest (``main``); those outside it; the groups of these keys."""
-        placed = cut(some.select("key", "id", "rank", *attributes).join(components(links), "id", "left").withColumn("group", F.coalesce("root", "id")).select("key", "id", "group", "rank", *attributes))
+        """Of ``some`` the members of keys that hold more than one group (``main``: of the largest); those outside it; the groups of these keys.
+
+        Rows written are narrow: what the test reads is fetched for those that meet.
+        """
+        placed = some.select("key", "id").join(components(links), "id", "left").select("key", "id", F.coalesce("root", "id").alias("group"))
         sizes = placed.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
-        open_ = cut(sizes.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "group")).alias("top")).filter("groups > 1").select("key", "groups", F.col("top.group").alias("main")))
-        rest = cut(placed.join(open_.drop("groups"), "key"))
-        return rest, rest.filter("group <> main"), open_.agg(F.sum("groups")).first()[0] or 0
+        open_ = cut(sizes.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "group")).alias("top")).filter("groups > 1").select("key", "groups", F.col("top.group").alias("largest")))
+        rest = cut(placed.join(open_.drop("groups"), "key").select("key", "id", "group", (F.col("group") == F.col("largest")).alias("main")))
+        return rest, rest.filter("NOT main"), open_.agg(F.sum("groups")).first()[0] or 0
 
     def meet(x: DataFrame, y: DataFrame, when: Column) -> DataFrame:
-        x, y = x.alias("x"), y.alias("y")
+        x, y = x.join(nodes, "id").alias("x"), y.join(nodes, "id").alias("y")
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") != F.col("y.group")) & when & passes(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
         return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
     links = first
-    rest, others, groups = outside(rows, links)
+    rest, others, groups = outside(members, links)
     for turn in range(ROUNDS):
         if not groups:
             break
-        shared = F.when((F.col("group") == F.col("main")) & F.lit(turn == 0), F.col("rank"))
-        place = F.row_number().over(Window.partitionBy("key", F.col("group") == F.col("main")).orderBy(shared.desc(), F.xxhash64("id", F.lit(turn)), "id"))
+        place = F.row_number().over(Window.partitionBy("key", "main").orderBy(F.xxhash64("id", F.lit(turn)), "id"))
         few = rest.withColumn("place", place).filter(F.col("place") <= LEADERS)
         more = cut(meet(others, few, F.lit(True)).join(tested, ["a", "b"], "left_anti"))
         before = groups
@@ -92,6 +93,6 @@ def linked_groups(postings: DataFrame, nodes: DataFrame, passes: Callable[[Calla
         if groups == before and turn + 1 >= LEAST_ROUNDS:
             break
 
-    once = (F.col("y.group") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    once = F.col("y.main") | (F.col("x.id") < F.col("y.id"))
     pairs = cut(meet(others, rest, once).join(tested, ["a", "b"], "left_anti"))
     return components(links if pairs.isEmpty() else links.unionByName(verify(pairs)))
