@@ -12,8 +12,8 @@ from pagelore.streaming import jobs
 
 
 def source(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A table's file as a stream; its schema is fixed by the batch reader."""
-    return jobs.file_stream(spark, d, f"{name}.parquet", fx.table(spark, d, name).schema)
+    """A table as a stream, be it one file or a folder of files; its schema is fixed by the batch reader."""
+    return jobs.table_stream(spark, d, name, fx.table(spark, d, name).schema)
 
 
 def scattered(spark: SparkSession, d: str, name: str, key: str, files: int = 4) -> DataFrame:

@@ -31,6 +31,14 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_pe
             .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+    """``name``.parquet of a folder as a stream: one file, or a folder of files as Spark writes it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return file_stream(spark, f"{folder}/{name}.parquet", "*.parquet", schema)
+    return file_stream(spark, folder, f"{name}.parquet", schema)
+
+
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Process what has arrived and stop; on a cluster the same job runs with its usual trigger."""
     query = (stream.writeStream.foreachBatch(write).outputMode(mode)

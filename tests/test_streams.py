@@ -59,3 +59,15 @@ def test_a_batch_that_runs_again_changes_nothing(spark, landed):
     for _ in range(2):
         jobs.note_late(batch, 0, f"{folder}/out", "asked_at", "1 hour")
     assert [tuple(r) for r in jobs.late_counts(spark, f"{folder}/out").collect()] == [(0, len(ROWS) + 4, 0)]
+
+
+def test_tables_of_one_file_and_of_many(spark, tmp_path):
+    rows = spark.range(20).withColumn("text", F.lit("a"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/many/t.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part")
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "one" / "t.parquet")
+    for kind in ("one", "many"):
+        stream = jobs.table_stream(spark, f"{tmp_path}/{kind}", "t", rows.schema)
+        jobs.run_available(stream, jobs.batch_writer(f"{tmp_path}/{kind}-out"), f"{tmp_path}/{kind}-progress")
+        assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/{kind}-out").collect()) == list(range(20))
