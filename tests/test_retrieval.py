@@ -165,3 +165,15 @@ def test_questions_without_documents_stay_with_their_owner(spark):
                                 "query_id long, query string, embedding array<float>, document_id long, page_number long, owner_id long")
     pages = vectors.selectExpr("*", "1L AS page_number", "0L AS chunk_index", "'digital' AS source_type")
     assert {r.query_id for r in rt.highlight(lit, pages, documents).collect()} == {1}
+
+
+def test_every_chunk_that_shares_a_word_is_scored(spark, tmp_path):
+    docs = spark.createDataFrame([(f"c{i:03d}", f"alpha w{i} w{i % 7}" if i % 3 else f"beta w{i % 5}") for i in range(120)], "chunk_id string, content string")
+    asked = spark.createDataFrame([(1, "alpha w3"), (2, "beta beta"), (3, "nothing")], "query_id long, query string")
+    bm.write_index(docs, f"{tmp_path}/index", block_texts=16)
+    got = {(r.query_id, r.chunk_id): r.bm25_score for r in bm.index_scores(asked, f"{tmp_path}/index").collect()}
+    one = lambda df: df.withColumn("corpus_id", F.lit(0))
+    want = {(r.query_id, r.chunk_id): r.bm25_score for r in rt.bm25_scores(one(asked), one(docs)).collect()}
+    assert got.keys() == want.keys() and len(got) > 100 and all(abs(got[x] - want[x]) < 2e-6 for x in want)
+    scaled = rt.normalize_scores(spark.createDataFrame([(q, c, s) for (q, c), s in got.items()], "query_id long, chunk_id string, s double"), "s", "n").collect()
+    assert len(scaled) == len(got) and {r.query_id: max(x.n for x in scaled if x.query_id == r.query_id) for r in scaled} == {1: 1.0, 2: 1.0}
