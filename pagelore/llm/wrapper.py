@@ -33,8 +33,8 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
 MARK = re.compile(r"[A-Za-z]+")
 #: A paragraph ends where one of these begins.
 ENDS_P = BLOCKS - {"html", "body"}
-#: Sibling lists whose product is larger are aligned in one pass instead of by the full recurrence.
-FULL_CELLS = 40_000
+#: Scores kept before the nodes are numbered by shape; this changes no result.
+MANY_PAIRS = 256
 #: A node is template if its text is the same on this share of at least so many differing pages.
 SAME_SHARE, LEAST_PAGES = 0.9, 4
 MAX_DEPTH = 200
@@ -112,53 +112,78 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
+def shapes(a: Node, b: Node) -> dict[int, int]:
+    """A number for each node of two trees (by ``id``), equal where the subtrees match all others alike.
+
+    A text counts in a match only by being equal to one of the other tree, so all texts that one tree has alone are alike.
+    """
+    order: list[list[Node]] = [below(a), below(b)]
+    texts = [{n.plain[1] for n in nodes if n.plain is not None} for nodes in order]
+    shared, numbers, out = texts[0] & texts[1], {}, {}
+    for side, nodes in enumerate(order):
+        for node in reversed(nodes):  # children before parents
+            plain = None if node.plain is None else (node.plain[0], node.plain[1] if node.plain[1] in shared else side)
+            out[id(node)] = numbers.setdefault((node.tag, plain, tuple(out[id(c)] for c in node.children)), len(numbers))
+    return out
+
+
 def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the largest order-keeping match of two trees, and its node pairs."""
+    """Simple tree matching: the largest order-keeping match of two trees, and its node pairs.
+
+    One full recurrence for lists of every length.  Scores are kept by pair of nodes, from ``MANY_PAIRS`` on by pair of shapes
+    (the same scores), so rows of one make are matched once; lists that are followed back hold one byte a cell.
+    """
     if a.tag != b.tag:
         return 0, []
-    xs, ys = a.children, b.children
-    if len(xs) * len(ys) > FULL_CELLS:
-        return _match_in_one_pass(a, b)
-    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    took: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, x in enumerate(xs, 1):
-        row, above, plain = best[i], best[i - 1], x.plain
-        for j, y in enumerate(ys, 1):
-            top = above[j] if above[j] > row[j - 1] else row[j - 1]
-            if x.tag == y.tag:
-                if plain is not None and y.plain is not None:
-                    score = plain[0] + (plain[1] == y.plain[1]) if plain[0] == y.plain[0] else 1
-                else:
-                    score = (took.setdefault((i, j), match(x, y)))[0]
-                if above[j - 1] + score > top:
-                    top = above[j - 1] + score
-            row[j] = top
-    pairs, i, j = [(a, b)], len(xs), len(ys)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            x, y = xs[i - 1], ys[j - 1]
-            if (i, j) in took:
-                pairs += took[i, j][1]
-            else:
-                pairs.append((x, y))
-                if x.children and y.children:
-                    pairs.append((x.children[0], y.children[0]))
-            i, j = i - 1, j - 1
-    return best[-1][-1] + 1, pairs
-
-
-def _match_in_one_pass(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    score, pairs, at = 1, [(a, b)], 0
-    for x in a.children:
-        j = next((k for k in range(at, min(at + 8, len(b.children))) if b.children[k].tag == x.tag), None)
-        if j is not None:
-            got = match(x, b.children[j])
-            score, pairs, at = score + got[0], pairs + got[1], j + 1
-    return score, pairs
+    shape: dict[int, int] = {}
+    known: dict[tuple[int, int], int] = {}
+
+    def table_of(x: Node, y: Node, ways: list[bytearray] | None) -> int:
+        columns = [(v.tag, v.plain, v) for v in y.children]
+        above = [0] * (len(columns) + 1)
+        for u in x.children:
+            tag, plain = u.tag, u.plain
+            row, way, left = [0], bytearray(len(columns)), 0
+            for j, (other, text, v) in enumerate(columns):
+                top = above[j + 1]
+                if left > top:
+                    top, way[j] = left, 1
+                if tag == other:
+                    if plain is not None and text is not None:
+                        found = plain[0] + (plain[1] == text[1]) if plain[0] == text[0] else 1
+                    else:
+                        found = known.get((shape.get(id(u), id(u)), shape.get(id(v), id(v))))
+                        if found is None:
+                            found = known[shape.get(id(u), id(u)), shape.get(id(v), id(v))] = table_of(u, v, None)
+                            if len(known) > MANY_PAIRS and not shape:
+                                shape.update(shapes(a, b))
+                    if above[j] + found > top:
+                        top, way[j] = above[j] + found, 2
+                row.append(top)
+                left = top
+            above = row
+            if ways is not None:
+                ways.append(way)
+        return above[-1] + 1
+
+    total, pairs, open_ = 0, [], [(a, b)]
+    while open_:
+        x, y = open_.pop()
+        pairs.append((x, y))
+        if x is not a and x.plain is not None and y.plain is not None:
+            if x.children and y.children:
+                pairs.append((x.children[0], y.children[0]))
+            continue
+        ways: list[bytearray] = []
+        score = table_of(x, y, ways)
+        total = total or score
+        i, j = len(x.children), len(y.children)
+        while i and j:
+            step = ways[i - 1][j - 1]
+            if step == 2:
+                open_.append((x.children[i - 1], y.children[j - 1]))
+            i, j = i - (step != 1), j - (step != 0)
+    return total, pairs
 
 
 def whole(node: Node) -> str:

@@ -139,3 +139,13 @@ def test_tree_matching_is_the_largest():
     assert wrapper.match(wrapper.parse(deep), wrapper.parse(deep))[0] > 0
     wide = "".join(f"<p>{i}</p>" for i in range(3000))
     assert wrapper.match(wrapper.parse(wide), wrapper.parse(wide))[0] >= 3000
+
+
+def test_long_lists_are_matched_in_full():
+    rows = lambda n, skip: "<ul>" + "".join(f"<li><b>{i}</b> <i>x</i></li>" for i in range(n) if i % 40 != skip) + "</ul>"
+    plain = lambda n, skip: "<p>new</p>" * skip + "".join(f"<p>{i}</p>" for i in range(n))
+    score, pairs = wrapper.match(wrapper.parse(rows(300, 3)), wrapper.parse(rows(300, 5)))
+    assert score >= 284 * 6 and sum(x.tag == "li" for x, _ in pairs) == 292
+    a, b = wrapper.parse(plain(250, 0)), wrapper.parse(plain(250, 30))  # every old paragraph finds itself behind 30 new ones
+    score, pairs = wrapper.match(a, b)
+    assert score == 1 + 250 * 3 and sum(x.tag == "p" and x.plain == y.plain for x, y in pairs) == 250
