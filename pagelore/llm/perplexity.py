@@ -1,16 +1,17 @@
 """Quality rules: n-gram perplexity bands.
 
-A modified Kneser-Ney model of order four over characters is counted by Spark over all documents.
-Characters are folded to 64 classes, so an n-gram packs into a perfect hash of 24 bits and the
-model has at most 64 ** 4 entries however large the corpus is; that is the bound of what is
-broadcast.  The model is stored as sorted hash arrays with their log probabilities.  A document is
-rejected if its log perplexity leaves the band of its language, below or above.
+A modified Kneser-Ney model of order four is counted by Spark over all documents.  The query's model reads
+the UTF-8 bytes of the texts, so no two characters of any script are taken for each other; a four-gram packs
+into a perfect hash of 32 bits.  ``FOLDED`` is the smaller alphabet of 64 character classes.  The
+model is stored as sorted hash arrays with their log probabilities.  A document is rejected if its
+log perplexity leaves the band of its language, below or above.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,26 @@ def ngrams(text: str) -> np.ndarray:
     return c[:n] << 18 | c[1 : n + 1] << 12 | c[2 : n + 2] << 6 | c[3 : n + 3]
 
 
+def byte_grams(text: str) -> np.ndarray:
+    """The packed four-grams of the UTF-8 bytes of a text, one per byte, padded in front with a byte that no text has."""
+    data = text.encode("utf-8", "surrogatepass")
+    c = np.full(len(data) + ORDER - 1, 0xFF, dtype=np.uint32)
+    c[ORDER - 1 :] = np.frombuffer(data, dtype=np.uint8)
+    n = len(data)
+    return c[:n] << 24 | c[1 : n + 1] << 16 | c[2 : n + 2] << 8 | c[3 : n + 3]
+
+
+class Alphabet(NamedTuple):
+    """How a text becomes packed four-grams, and the bits of one symbol."""
+
+    grams: Callable[[str], np.ndarray]
+    bits: int
+
+
+FOLDED = Alphabet(ngrams, BITS)
+BYTES = Alphabet(byte_grams, 8)
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -63,7 +84,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
+def count_ngrams(docs: DataFrame, alphabet: Alphabet = FOLDED) -> DataFrame:
     """``ngram``, ``n`` over the whole texts of all documents, combined before the shuffle."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,44 +101,45 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
         for frame in frames:
             for text in frame.text:
                 if text:
-                    held.append(ngrams(text))
+                    held.append(alphabet.grams(text))
                     size += len(held[-1])
                     if size >= CHUNK:
                         fold()
         fold()
         for at in range(0, len(keys), 100_000):
-            yield pd.DataFrame({"ngram": keys[at : at + 100_000].astype("int32"), "n": counts[at : at + 100_000]})
+            yield pd.DataFrame({"ngram": keys[at : at + 100_000].astype("int64"), "n": counts[at : at + 100_000]})
 
-    return docs.select("text").mapInPandas(count, "ngram int, n long").groupBy("ngram").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInPandas(count, "ngram long, n long").groupBy("ngram").agg(F.sum("n").alias("n"))
 
 
 class KneserNey:
     """Interpolated modified Kneser-Ney of order four from (packed n-gram, count) arrays.
 
     For each order the sorted n-gram hashes with their log probability, and the sorted context
-    hashes with the log weight of the next lower order.
+    hashes with the log weight of the next lower order.  A symbol has ``bits`` bits.
     """
 
-    def __init__(self, ngrams: np.ndarray, counts: np.ndarray):
+    def __init__(self, ngrams: np.ndarray, counts: np.ndarray, bits: int = BITS):
+        self.bits = bits
         keys, counts = _summed(np.asarray(ngrams, np.int64), np.asarray(counts, np.int64))
         levels = {ORDER: (keys, counts)}
         for n in range(ORDER - 1, 0, -1):  # how many different characters an n-gram follows
             above = levels[n + 1][0]
-            levels[n] = _summed(above & ((1 << BITS * n) - 1), np.ones(len(above), np.int64))
+            levels[n] = _summed(above & ((1 << bits * n) - 1), np.ones(len(above), np.int64))
         self.probability: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.backoff: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        lower = np.full(1 << BITS, 1.0 / (1 << BITS))
+        lower = np.full(1 << bits, 1.0 / (1 << bits))
         for n in range(1, ORDER + 1):
             keys, counts = levels[n]
             seen = [np.sum(counts == k) for k in (1, 2, 3, 4)]
             y = seen[0] / max(seen[0] + 2 * seen[1], 1)
             discount = [0.0] + [min(max(k - (k + 1) * y * seen[k] / seen[k - 1], 0.0), k) if seen[k - 1] and y else 0.5 * k for k in (1, 2, 3)]
             off = np.array(discount)[np.minimum(counts, 3)]
-            contexts, total = _summed(keys >> BITS, counts)
-            freed = _summed(keys >> BITS, off)[1]
-            at = np.searchsorted(contexts, keys >> BITS)
+            contexts, total = _summed(keys >> bits, counts)
+            freed = _summed(keys >> bits, off)[1]
+            at = np.searchsorted(contexts, keys >> bits)
             weight = freed / total
-            below = lower[keys & ((1 << BITS * (n - 1)) - 1 if n > 1 else (1 << BITS) - 1)] if n == 1 else self._known(keys & ((1 << BITS * (n - 1)) - 1), n - 1)
+            below = lower[keys & ((1 << bits * (n - 1)) - 1 if n > 1 else (1 << bits) - 1)] if n == 1 else self._known(keys & ((1 << bits * (n - 1)) - 1), n - 1)
             self.probability[n] = (keys, np.log(np.maximum((counts - off) / total[at] + weight[at] * below, 1e-12)).astype(np.float32))
             self.backoff[n] = (contexts, np.log(np.maximum(weight, 1e-12)).astype(np.float32))
 
@@ -130,24 +152,33 @@ class KneserNey:
         out, open_, extra = np.zeros(len(grams)), np.arange(len(grams)), np.zeros(len(grams))
         for n in range(ORDER, 0, -1):
             keys, logs = self.probability[n]
-            g = grams[open_].astype(np.int64) & ((1 << BITS * n) - 1)
+            g = grams[open_].astype(np.int64) & ((1 << self.bits * n) - 1)
             at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
             hit = keys[at] == g
             out[open_[hit]] = extra[open_[hit]] + logs[at[hit]]
             contexts, weights = self.backoff[n]
-            open_, g = open_[~hit], g[~hit] >> BITS
+            open_, g = open_[~hit], g[~hit] >> self.bits
             if not len(open_):
                 return out
             at = np.minimum(np.searchsorted(contexts, g), len(contexts) - 1)
             extra[open_] += np.where(contexts[at] == g, weights[at], 0.0)
-        out[open_] = extra[open_] - BITS * np.log(2)
+        out[open_] = extra[open_] - self.bits * np.log(2)
         return out
 
-    def lookup(self) -> np.ndarray:
-        """The stored four-grams laid out by their hash, not-a-number where there is none."""
-        flat = np.full(1 << BITS * ORDER, np.nan, dtype=np.float32)
-        flat[self.probability[ORDER][0]] = self.probability[ORDER][1]
-        return flat
+    def log_likelihood(self, grams: np.ndarray) -> float:
+        """Of all grams together: each distinct one is looked up once, in the order it is stored."""
+        if not len(grams):
+            return 0.0
+        grams = np.sort(grams)
+        first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+        distinct, n = grams[first], np.diff(np.r_[first, len(grams)])
+        keys, logs = self.probability[ORDER]
+        at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+        known = logs[at].astype(np.float64)
+        missing = keys[at] != distinct
+        if missing.any():
+            known[missing] = self.log_probability(distinct[missing])
+        return float((n * known).sum())
 
 
 def base_statistics(text: str | None) -> tuple[int, int, int, int, int]:
@@ -174,29 +205,25 @@ def base_statistics(text: str | None) -> tuple[int, int, int, int, int]:
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def train(docs: DataFrame) -> KneserNey:
-    rows = count_ngrams(docs).toPandas()  # at most 64 ** 4 rows
-    return KneserNey(rows.ngram.to_numpy(), rows.n.to_numpy())
+def train(docs: DataFrame, alphabet: Alphabet = FOLDED) -> KneserNey:
+    """A row for each distinct four-gram comes to the driver: what repeats in the texts adds nothing to the model."""
+    rows = count_ngrams(docs, alphabet).toPandas()
+    return KneserNey(rows.ngram.to_numpy(), rows.n.to_numpy(), alphabet.bits)
 
 
 def score(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """``doc_id``, ``lang``, the base statistics and ``log_ppl`` (null for a text without characters)."""
+    """``doc_id``, ``lang``, the base statistics and ``log_ppl`` (nats a symbol; null for a text without characters)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table_ = None
+        grams_of = next(a.grams for a in (FOLDED, BYTES) if a.bits == shared.value.bits)
         for frame in frames:
-            table_ = shared.value.lookup() if table_ is None else table_
             rows = []
             for text in frame.text:
                 ppl = None
                 if text:
-                    grams = ngrams(text)
-                    logs = table_[grams]
-                    total = float(logs.sum(dtype=np.float64))
-                    if np.isnan(total):
-                        total = float(np.where(np.isnan(logs), shared.value.log_probability(grams), logs).sum())
-                    ppl = -total / len(grams)
+                    grams = grams_of(text)
+                    ppl = -shared.value.log_likelihood(grams) / len(grams)
                 rows.append((*base_statistics(text), ppl))
             stats = pd.DataFrame(rows, columns=[*STATISTICS, "log_ppl"])
             yield pd.concat([frame[["doc_id", "lang"]].reset_index(drop=True), stats.astype({"log_ppl": "float64"})], axis=1)
@@ -215,7 +242,7 @@ def judge(docs: DataFrame, model: KneserNey | None = None, width: float = BAND_W
     """
     docs = own(docs, "doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id").cast("long"))
     if model is None:
-        model = train(docs)
+        model = train(docs, BYTES)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     scored = cut(score(docs, model).withColumn("base_failed", failed))
     mid = lambda p: F.percentile_approx("log_ppl", F.lit(p), F.lit(10000))
