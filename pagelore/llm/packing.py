@@ -31,6 +31,9 @@ VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 700_000
 #: Words that are tokenized in one call.
 CALL_WORDS = 2000
+#: Marks that are a token of their own behind an ASCII letter.
+MARKS = b".,;:!?"
+LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -42,7 +45,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class WordCache:
     """Ids of texts, by words: this vocabulary never joins what white space parts, so a word's ids are its own.
 
-    ``ids(text)`` is what the tokenizer gives for the whole text, as packed 16-bit numbers.
+    ``ids(text)`` is what the tokenizer gives for the whole text, as packed 16-bit numbers.  Spellings with the
+    same ids are tokenized once: this vocabulary lowers ASCII words, and parts a letter from a mark behind it.
     """
 
     def __init__(self, path: str):
@@ -53,6 +57,29 @@ class WordCache:
             raise ValueError("ids must fit 16 bits")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]  # these are matched as spelled
+        self.marks = {m: np.array(self.tokenizer.encode(chr(m), add_special_tokens=False).ids, dtype="<u2").tobytes() for m in MARKS}
+
+    def _find(self, missing: list[bytes]) -> None:
+        """Fills ``young`` for words that are in neither generation."""
+        young, old, spelled, plain = self.young, self.old, [], {}
+        for w in missing:
+            mark = b""
+            core = w
+            if len(w) > 1 and w[-1] in MARKS and w[-2] in LETTERS:
+                mark, core = self.marks[w[-1]], w[:-1]
+            if core.isascii() and not any(t in core.lower() for t in self.added):
+                core = core.lower()
+            if core != w:
+                spelled.append((w, core, mark))
+            if core not in young:
+                if core in old:
+                    young[core] = old[core]
+                else:
+                    plain[core] = None
+        self._learn(list(plain))
+        for w, core, mark in spelled:
+            young[w] = young[core] + mark
 
     def _learn(self, words: list[bytes]) -> None:
         for at in range(0, len(words), CALL_WORDS):
@@ -78,7 +105,7 @@ class WordCache:
                 else:
                     missing[w] = None
         if missing:
-            self._learn(list(missing))
+            self._find(list(missing))
         return b"".join(map(young.__getitem__, words))
 
 
