@@ -1,6 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from pagelore.operators import chunks as ch
+from pagelore.session import spread
 
 
 def plain_chunks(sentences, size, overlap):
@@ -44,3 +47,17 @@ def test_pipes_become_letters_in_table_text(spark):
     df = spark.createDataFrame([(1, 1, "| alpha | beta |")], "document_id long, page_number long, table_text string")
     assert ch.chunk_tables(df).first().content == "| alpha | beta |"
     assert ch.chunk_pages(df, "table_text").first().content == "I alpha I beta I"
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    rows = [(None if i % 3 else i, f"text {i}" * 50) for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.option("compression", "none").parquet(str(tmp_path / "t"))
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        scan = spark.read.parquet(str(tmp_path / "t"))
+        assert scan.rdd.getNumPartitions() > 8 and scan.select(F.spark_partition_id()).distinct().count() == 1
+        sizes = [r["count"] for r in spread(scan).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    assert sum(sizes) == 2000 and len(sizes) > 8 and max(sizes) < 500
