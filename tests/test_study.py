@@ -39,3 +39,20 @@ def test_words_part_at_every_white_space(spark):
     text = "".join(f"w{i}é\U0001f600\x7f​{c}" for i, c in enumerate(white))
     row = spark.createDataFrame([(text,)], "t string").select(tx.words(F.col("t")).alias("w")).first()
     assert row.w == [f"w{i}é\U0001f600\x7f​" for i in range(len(white))]
+
+
+def test_card_material_reads_a_chunk_once(spark):
+    good, bad = "Some readable words of chunk number", "1 2 3 4 5 6 7"
+    rows = [(d, i, f"{good} {d} {i} and nothing else." if (i + d) % 3 else bad) for d, n in ((1, 5), (2, 40), (3, 3000)) for i in range(n)]
+    rows += [(4, i, bad) for i in range(30)] + [(None, 0, good)]
+    chunks = spark.createDataFrame(rows, "document_id long, chunk_index long, content string")
+    material = st.flashcard_material(chunks)
+    assert plan(material).count(tx._SPACED_LETTER_GAP) == 3  # all chunks, and documents of several segments for their two sums
+    got = {r.document_id: r.material for r in material.collect()}
+    want = {}
+    for d in (1, 2, 3, 4):
+        kept = [t for x, _, t in rows if x == d and t != bad] or [""] * 30  # lines of single letters are dropped
+        text = " ".join(kept[::max(1, len(kept) // 12)])[:8000].strip()
+        if len(text) >= 50:
+            want[d] = text
+    assert got == want
