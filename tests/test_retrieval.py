@@ -1,8 +1,10 @@
 import math
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from pagelore.operators import blocks as bl
 from pagelore.operators import bm25 as bm
 from pagelore.operators import retrieval as rt
 from pagelore.operators import vectors as vc
@@ -177,3 +179,25 @@ def test_every_chunk_that_shares_a_word_is_scored(spark, tmp_path):
     assert got.keys() == want.keys() and len(got) > 100 and all(abs(got[x] - want[x]) < 2e-6 for x in want)
     scaled = rt.normalize_scores(spark.createDataFrame([(q, c, s) for (q, c), s in got.items()], "query_id long, chunk_id string, s double"), "s", "n").collect()
     assert len(scaled) == len(got) and {r.query_id: max(x.n for x in scaled if x.query_id == r.query_id) for r in scaled} == {1: 1.0, 2: 1.0}
+
+
+def test_queries_meet_a_page_in_parts(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    v = spark.createDataFrame([(i, [rng.random() - 0.5 for _ in range(6)]) for i in range(300)], "chunk_id long, embedding array<float>")
+    vc.write_blocks(v, str(tmp_path), block_vectors=20)
+    q = v.withColumnRenamed("chunk_id", "query_id")
+    whole = sorted(map(tuple, vc.blocks_topk(q, str(tmp_path), 5, True).collect()))
+    bounds = sorted(map(tuple, vc._bounds(q, str(tmp_path), 2).select("query_id", "block").collect()))
+    assert sorted(map(tuple, vc._bounds(q, str(tmp_path), 2, parts=7).select("query_id", "block").collect())) == bounds
+    seen = []
+    bounds_of = vc._bounds
+    monkeypatch.setattr(vc, "PART_QUERIES", 40)
+    monkeypatch.setattr(vc, "_bounds", lambda queries, folder, first, parts=1: seen.append(parts) or bounds_of(queries, folder, first, parts))
+    assert sorted(map(tuple, vc.blocks_topk(q, str(tmp_path), 5, True).collect())) == whole and seen == [8, 8]
+
+
+def test_few_requests_meet_a_block_at_a_time(spark):
+    blocks = spark.createDataFrame([(0, 1), (1, 2)], "cell long, member long")
+    asked = spark.range(3000).select((F.col("id") % 2).alias("cell"), F.col("id").alias("query_id"))
+    got = bl.meet(blocks, asked, len, lambda block, rows: pd.DataFrame({"n": [len(rows)]}), "n long").agg(F.sum("n"), F.max("n")).first()
+    assert got[0] == 3000 and got[1] <= bl.REQUESTS
