@@ -61,3 +61,9 @@ def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", most)
     assert sum(sizes) == 2000 and len(sizes) > 8 and max(sizes) < 500
+
+
+def test_documents_of_one_segment_stay_at_the_scan(spark):
+    pages = spark.createDataFrame([(1, 1, "A sentence that is long enough to stay.", ["text"])], "document_id long, page_number long, merged_text string, source_types array<string>")
+    plan = ch.chunk_documents(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "_bits" in plan.split("LeftSemi")[1]
