@@ -9,6 +9,8 @@ documents lie, so neither texts nor tokens are shuffled.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +36,11 @@ CALL_WORDS = 2000
 #: Marks that are a token of their own behind an ASCII letter.
 MARKS = b".,;:!?"
 LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: Words of printable ASCII and Latin-1 letters, which no normal form changes, and what the vocabulary's pre-tokenizer cuts them into.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Pieces of marks and digits whose ids are remembered.
+CACHE_PIECES = 10_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -47,17 +54,22 @@ class WordCache:
 
     ``ids(text)`` is what the tokenizer gives for the whole text, as packed 16-bit numbers.  Spellings with the
     same ids are tokenized once: this vocabulary lowers ASCII words, and parts a letter from a mark behind it.
+    Plain words are cut into its pieces here and go straight to its model, all others through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]  # these are matched as spelled
+        self.byte_letters = {ord(c): "".join(b for b, _ in byte_level.pre_tokenize_str(c)) for c in map(chr, range(0xC0, 0x100))}
+        self.pieces: dict[str, bytes] = {}
         self.marks = {m: np.array(self.tokenizer.encode(chr(m), add_special_tokens=False).ids, dtype="<u2").tobytes() for m in MARKS}
 
     def _find(self, missing: list[bytes]) -> None:
@@ -81,29 +93,46 @@ class WordCache:
         for w, core, mark in spelled:
             young[w] = young[core] + mark
 
+    def _piece(self, piece: str) -> bytes:
+        known = self.pieces.get(piece)
+        if known is None:
+            spelled = piece if piece.isascii() else piece.translate(self.byte_letters)
+            ids = [t.id for t in self.model.tokenize(spelled)]
+            known = struct.pack(f"<{len(ids)}H", *ids)
+            if not piece[0].isalpha():
+                if len(self.pieces) >= CACHE_PIECES:
+                    self.pieces.clear()
+                self.pieces[piece] = known
+        return known
+
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), CALL_WORDS):
-            some = words[at : at + CALL_WORDS]
-            texts = [w.decode("utf-8", "replace") for w in some]
+        others = []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if PLAIN.fullmatch(text) and "<|" not in text:  # added tokens begin so
+                self.young[w] = b"".join(map(self._piece, PIECES.findall(text.lower())))
+            else:
+                others.append((w, text))
+        for at in range(0, len(others), CALL_WORDS):
+            some = others[at : at + CALL_WORDS]
+            texts = [t for _, t in some]
             found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
             first = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(found.ids))
             edges = (2 * np.searchsorted(first, np.r_[starts, starts[-1] + len(texts[-1]) + 1])).tolist()
             ids = np.array(found.ids, dtype="<u2").tobytes()
-            for w, a, b in zip(some, edges, edges[1:], strict=False):
+            for (w, _), a, b in zip(some, edges, edges[1:], strict=False):
                 self.young[w] = ids[a:b]
 
     def ids(self, text: str | None) -> bytes:
         words = (text or "").encode("utf-8", "replace").split()
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        young, old, missing = self.young, self.old, {}
-        for w in words:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    missing[w] = None
+        young, old = self.young, self.old
+        missing = {w: None for w in words if w not in young}
+        for w in [w for w in missing if w in old]:
+            young[w] = old[w]
+            del missing[w]
         if missing:
             self._find(list(missing))
         return b"".join(map(young.__getitem__, words))
