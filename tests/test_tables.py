@@ -77,14 +77,17 @@ def test_relationships_equal_all_pairs(spark):
     assert "Pandas" not in plan and "Python" not in plan
 
 
-def test_copies_are_members_of_a_class(spark):
+def test_copies_are_linked_like_all_others(spark, monkeypatch):
+    monkeypatch.setattr(al, "DOCS_PER_BLOCK", 7)
     sets = {1: ["a", "b", "c", "d"], 2: ["a", "b", "x", "y"], 3: ["q", "r", "s"]}
+    # the last owner's words meet less often than its documents do, so its pairs pass the prefix filter
     rows = [(100 * i + j, 0, sets[1 + j % 3]) for i in range(20) for j in range(3)] + [(5000, 1, sets[1]), (5001, 1, sets[1])]
+    rows += [(7000 + i, 2, [f"{i}{w}" for w in "abc"]) for i in range(9)] + [(7100 + i, 2, [f"{i}{w}" for w in "abc"]) for i in range(2)]
     docs = spark.createDataFrame([(i, o, f"d{i}", "processed") for i, o, _ in rows], "id long, owner_id long, original_name string, status string")
     edges = al.doc_relationships(docs, spark.createDataFrame([(i, w) for i, _, w in rows], "document_id long, keywords array<string>")).collect()
-    assert [(r.source, r.target, r.shared_count) for r in edges if not r.same_words] == [(0, 1, 2)]
-    members = {(r.source, r.target, r.similarity) for r in edges if r.same_words}
-    assert members == {(j, 100 * i + j, 1.0) for i in range(1, 20) for j in range(3)} | {(5000, 5001, 1.0)} and len(edges) == 59
+    want = {(a, b): ",".join(sorted(set(x) & set(y))) for a, o, x in rows for b, q, y in rows if o == q and a < b and len(set(x) & set(y)) >= 2}
+    assert {(r.source, r.target): r.shared_topics for r in edges} == want and len(edges) == len(want) == 3 * 190 + 400 - 20 + 20 + 1 + 2
+    assert {r.similarity for r in edges if r.target - r.source == 100} == {1.0}
 
 
 def test_common_words_bring_nobody_together(spark):
