@@ -64,3 +64,22 @@ def test_newest_batch_is_the_whole_result(spark, tmp_path):
     for batch_id in (0, 1):
         write(spark.createDataFrame([(batch_id,)], "n int"), batch_id)
     assert [r.n for r in jobs.newest_batch(spark, str(tmp_path)).collect()] == [1]
+
+
+def test_full_text_reads_its_pages_once_and_keeps_long_documents_whole(spark, monkeypatch):
+    monkeypatch.setattr(pg, "SEGMENT_PAGES", 4)
+    # document 1 and 3 are longer than a segment, 2 is not; a blank page is left out; one row has no document
+    rows = [(d, p, " " if p == 2 else f"{d} page {p} " + "x" * (p % 5)) for d, n in ((1, 11), (2, 4), (3, 5)) for p in range(1, n + 1)] + [(None, 1, "nobody's")]
+    merged = spark.createDataFrame(rows, "document_id long, page_number long, merged_text string")
+    got = pg.full_text(merged, 40)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "merged_text" not in plan  # the pages come from the checkpoint folder
+    want = {}
+    for d in (1, 2, 3, None):
+        spent = 0
+        for _, p, t in sorted(r for r in rows if r[0] == d):
+            if t.strip():
+                block = f"[Page {p}]\n{t}"
+                want.setdefault((d, spent // 40), []).append(block)
+                spent += len(block)
+    assert {(r.document_id, r.part): r.full_text for r in got.collect()} == {k: "\n\n".join(v) for k, v in want.items()}
