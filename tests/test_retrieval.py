@@ -201,3 +201,21 @@ def test_few_requests_meet_a_block_at_a_time(spark):
     asked = spark.range(3000).select((F.col("id") % 2).alias("cell"), F.col("id").alias("query_id"))
     got = bl.meet(blocks, asked, len, lambda block, rows: pd.DataFrame({"n": [len(rows)]}), "n long").agg(F.sum("n"), F.max("n")).first()
     assert got[0] == 3000 and got[1] <= bl.REQUESTS
+
+
+def test_rows_that_nobody_asks_for_stay_where_they_are(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20)) + " gold") for i in range(200)], "chunk_id long, content string")
+    folder = str(tmp_path / "index")
+    bm.write_index(docs, folder, block_texts=20)
+    postings, wanted = spark.read.parquet(f"{folder}/postings"), spark.createDataFrame([("gold",), ("w7x3",)], "term string")
+    left = bm.asked_for(postings, wanted, "term")
+    assert left.columns == postings.columns and left.filter("term IN ('gold', 'w7x3')").count() == postings.filter("term IN ('gold', 'w7x3')").count()
+    assert left.count() < 50 < postings.count()
+
+    scores = spark.createDataFrame([(1, "a", 1.0), (1, "b", 3.0), (1, "c", 2.0), (None, "d", 5.0), (2, "e", 4.0), (2, "e", 4.0)], "query_id long, chunk_id string, s double")
+    want = [(None, "d", 1.0), (1, "a", 0.0), (1, "b", 1.0), (1, "c", 0.5), (2, "e", 1.0), (2, "e", 1.0)]
+    for most in (4096, 1):
+        monkeypatch.setattr(rt, "BROADCAST_ROWS", most)
+        got = rt.normalize_scores(scores, "s", "n")
+        assert [(r.query_id, r.chunk_id, r.n) for r in got.orderBy("query_id", "chunk_id").collect()] == want
+        assert ("strategy=broadcast" in got._jdf.queryExecution().analyzed().toString()) == (most > 1)
